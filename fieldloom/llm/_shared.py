@@ -62,28 +62,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sorted_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
-    """Yield (key, rows) for batches sorted by an int64 key; holds one group at a time."""
+def sorted_groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """Yield (key, rows) for batches sorted by whole-number keys; holds one group at a time."""
     held: list[pa.RecordBatch] = []
     current = None
     for rb in batches:
         if not rb.num_rows:
             continue
-        k = rb.column(rb.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        k = np.stack([rb.column(rb.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in keys], 1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if current is not None and k[a] != current:
+            this = tuple(k[a].tolist())
+            if current is not None and this != current:
                 yield current, pa.Table.from_batches(held)
                 held = []
-            current = k[a]
+            current = this
             held.append(rb.slice(a, b - a))
     if held:
         yield current, pa.Table.from_batches(held)
 
 
-def dealt_by(df: DataFrame, n: int, key: str, *then: str) -> DataFrame:
+def dealt_by(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """Rows of a key together and in order, in n partitions."""
-    return df.repartition(n, key).sortWithinPartitions(key, *then)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
 def fold_links(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
