@@ -48,9 +48,10 @@ def enrich_collect(base: DataFrame, other: DataFrame, keys: Sequence[str], *, or
 
 def range_one(base: DataFrame, ranges: DataFrame, on: Sequence[str], *, value: str, start: str, end: str, id_columns: Sequence[str]) -> DataFrame:
     """Join each base row with the one range of its key with start <= value <= end (null: open); none or several raise."""
-    r = ranges.withColumn("_there", F.lit(True))
-    joined = base.join(r, [*(base[k] == r[k] for k in on), r[start] <= base[value], r[end].isNull() | (base[value] <= r[end])], "left")
-    joined = joined.select(base["*"], *[r[c] for c in r.columns if c not in on])
+    x, y = base.alias("x"), ranges.withColumn("_there", F.lit(True)).alias("y")
+    v, a, b = F.col(f"x.{value}"), F.col(f"y.{start}"), F.col(f"y.{end}")
+    joined = x.join(y, [*(F.col(f"x.{k}") == F.col(f"y.{k}") for k in on), a <= v, b.isNull() | (v <= b)], "left")
+    joined = joined.select("x.*", *[F.col(f"y.{c}") for c in ranges.columns if c not in on], "_there")
     counts = joined.groupBy(*id_columns).agg(F.count("_there").alias("n")).where("n != 1")
     if bad := counts.take(1):
         raise ContractError(f"{bad[0].n} ranges match {bad[0]}")
