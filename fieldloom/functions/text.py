@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def identity_text(c: Column) -> Column:
@@ -22,7 +23,7 @@ def folded(text: str | None, nfkc: bool = False) -> str:
     return " ".join(text.split()).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def catalog_text(s: pd.Series) -> pd.Series:
     """NFKC and full case folding: for the distinct names of a dimension, which Spark has no function for."""
     return s.map(lambda x: folded(x, True))
