@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from fieldloom.llm._shared import dealt_by, materialize, partitions, ship_packag
 LENGTH = 400
 #: Pieces that are put in order at a time; collections aren't split.
 AT_ONCE = 4096
-#: A larger collection is compared by 128-bit hashes of its windows instead, as rows.
+#: A larger collection is cut into smaller ones first.
 LARGEST = 50_000
 _POSITION = 20
 _BLOCK = (1 << _POSITION) - 1024
@@ -235,21 +236,44 @@ def _order_columns(length: int):
     return run
 
 
-def _hash_windows(length: int):
-    gram = length // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            for key, text, at, piece in zip(*(rb.column(c).to_pylist() for c in ("key", "text", "at", "piece"))):
-                x = np.frombuffer(piece, np.uint8)
-                if len(x) < length:
-                    continue
-                h, g = gram_hashes(x, length).view(np.int64), gram_hashes(x, length, 0xD1B54A32D192ED03).view(np.int64)
-                from_anchor = np.arange(len(h)) - min(at, gram)
-                cols = [pa.array(h), pa.array(g), pa.array(from_anchor), pa.array([text] * len(h), pa.binary()), pa.array(at + from_anchor)]
-                yield pa.RecordBatch.from_arrays(cols, ["h", "g", "shift", "text", "start"])
+def _split_collections(pieces: DataFrame, length: int, largest: int) -> tuple[DataFrame, DataFrame]:
+    """(spans, pieces): collections of more than `largest` pieces, cut into smaller ones without losing a shared window.
 
-    return run
+    A part of a collection stands for windows that begin in columns low to high. Of pieces equal in all those windows
+    one remains, and the windows of the others, and its own, are known to be repeated. A part that is still too large
+    goes to two parts of half the columns each, in which pieces stay together if they are equal where all windows of
+    that half overlap, as equal windows are. With one column left, pieces that stay together are equal.
+    """
+    gram = length // 2
+    part = ["g", "low", "high"]
+    rows = pieces.where(F.col("n") > largest).select(F.col("key").alias("g"), F.lit(0).alias("low"), F.lit(gram).alias("high"), "text", "at", "piece")
+    spans, small = [], []
+    while True:
+        rows = materialize(rows, "large")
+        if rows.isEmpty():
+            break
+        shift = F.lit(gram) - F.least(F.col("at"), F.lit(gram))  # the piece's first byte is in this column
+        begin = F.greatest(F.col("low") - shift, F.lit(0))
+        here = F.substring(F.col("piece"), (begin + 1).cast("int"), (F.col("high") + length - shift - begin).cast("int"))
+        one = [*part, "h", "i", "missing"]
+        rows = rows.withColumns({"h": F.xxhash64(here), "i": F.xxhash64(F.lit(1), here), "missing": begin - (F.col("low") - shift)})
+        alike = rows.groupBy(*one).agg(F.count("*").alias("n"), F.first(F.struct("text", "at", "piece")).alias("r"))
+        alike = materialize(alike, "alike")
+        first, last = F.greatest(F.col("low"), shift), F.least(F.col("high"), shift + F.octet_length("piece") - length)
+        again = rows.join(alike.where("n > 1").select(*one), one, "left_semi").where(last >= first)
+        spans.append(again.select("text", (F.col("at") - gram + first).alias("start"), (F.col("at") - gram + last + length).alias("end")))
+        sizes = alike.groupBy(*part).agg(F.count("*").alias("size")).where("size > 1")
+        left = alike.join(sizes, part).select(*part, "size", "r.*")
+        small.append(left.where(F.col("size") <= largest).select(F.xxhash64(*part).alias("key"), "text", "at", "size", "piece"))
+        mid = F.expr("(low + high) div 2").cast("int")
+        halves = F.explode(F.array(F.struct(F.col("low").alias("low"), mid.alias("high")), F.struct((mid + 1).alias("low"), F.col("high").alias("high"))))
+        left = left.where((F.col("size") > largest) & (F.col("low") < F.col("high"))).select("g", halves.alias("half"), "text", "at", "piece")
+        left = left.select("g", "half.low", "half.high", "text", "at", "piece")
+        fits = (F.col("high") >= shift) & (F.col("low") + length <= shift + F.octet_length("piece"))
+        shared = F.substring(F.col("piece"), (F.col("high") - shift + 1).cast("int"), (F.col("low") + length - F.col("high")).cast("int"))
+        rows = left.where(fits).select(F.xxhash64("g", "low", shared).alias("g"), "low", "high", "text", "at", "piece")
+    join = lambda frames: reduce(DataFrame.union, frames)
+    return join(spans), join(small)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -306,11 +330,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, largest: int = LARGEST
         spans = dealt_by(pieces, n, "key").mapInArrow(_order_columns(length), "text binary, start long, end long")
         return classes, materialize(spans, "spans")
     pieces = materialize(pieces, "pieces")
-    spans = dealt_by(pieces.where(F.col("n") <= largest), n, "key").mapInArrow(_order_columns(length), "text binary, start long, end long")
-    windows = pieces.where(F.col("n") > largest).mapInArrow(_hash_windows(length), "h long, g long, shift long, text binary, start long")
-    again = windows.groupBy("h", "g", "shift").agg(F.count("*").alias("times")).where("times > 1")
-    more = windows.join(again, ["h", "g", "shift"], "left_semi").select("text", "start", (F.col("start") + length).alias("end"))
-    return classes, materialize(spans.union(more), "spans")
+    known, small = _split_collections(pieces, length, largest)
+    ordered = [dealt_by(p.select("key", "text", "at", "piece"), n, "key").mapInArrow(_order_columns(length), "text binary, start long, end long") for p in (pieces.where(F.col("n") <= largest), small)]
+    return classes, materialize(known.union(ordered[0]).union(ordered[1]), "spans")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, largest: int = LARGEST) -> DataFrame:
