@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._shared import ship_package, text_of
+from fieldloom.llm._shared import materialize, ship_package, text_of
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -106,19 +106,33 @@ def held_out():
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
-        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([terms(t.as_py()).tobytes() for t in rb.column(1)], pa.binary())], ["toxic", "terms"])
+        found = pa.array([terms(t.as_py()).view(np.int64) for t in rb.column(1)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([rb.column(0), found], ["toxic", "terms"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on at most `sample` labelled rows outside the held-out fold. A doc_id labelled more than once counts as its largest label."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Machine:
+    """Fit on at most `sample` labelled rows outside the held-out fold. A doc_id labelled more than once counts as its largest label.
+
+    Terms are chosen on the cluster, by the same measure as in fit_machine; the driver gets the chosen terms of each
+    sampled row. Equal sets of terms count once, so a group of copies is one example.
+    """
     ship_package(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")  # `sample` rows at most
-    # equal sets of terms count once: a group of copies is one example
-    got = rows.select("toxic", "text").mapInArrow(_hashed, "toxic int, terms binary").limit(2 * sample).toArrow().sort_by([("toxic", "ascending"), ("terms", "ascending")])
-    once = {x.as_py(): y for x, y in zip(got.column("terms"), got.column("toxic").to_pylist())}
-    return fit_machine([np.frombuffer(x, np.uint64) for x in once], np.fromiter(once.values(), np.int64, len(once)))
+    rows = rows.select("toxic", "text").mapInArrow(_hashed, "toxic int, terms array<long>")
+    rows = materialize(rows.groupBy("terms").agg(F.max("toxic").alias("toxic")), "sample")
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    best = []
+    if 0 < ones < n:
+        each = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("df1"))
+        each = each.where(F.col("df") >= min(LEAST_DOCS, ones)).withColumn("want", F.col("df") * ones / n)
+        chi = (F.col("df1") - F.col("want")) ** 2 / F.greatest(F.col("want") * (n - F.col("df")), F.lit(1e-9))
+        best = [r.term for r in each.orderBy(chi.desc(), "term").limit(features).collect()]
+    chosen = F.array(*map(F.lit, best)) if best else F.array().cast("array<bigint>")
+    got = rows.select("toxic", F.array_intersect("terms", chosen).alias("terms")).limit(2 * sample).collect()
+    got = sorted((r.toxic, r.terms) for r in got)
+    return fit_machine([np.sort(np.array(t, np.int64).view(np.uint64)) for _, t in got], np.array([y for y, _ in got], np.int64))
 
 
 def scorer(machine: Machine):
