@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,17 @@ def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
     return [(m.id_to_piece(i), m.get_score(i)) for i in range(m.get_piece_size()) if not odd(i)]
 
 
+class _Costs(dict):
+    """Costs of words, each worked out when first looked up."""
+
+    def __init__(self, cost):
+        self.cost = cost
+
+    def __missing__(self, word: str) -> int:
+        self[word] = c = self.cost(word)
+        return c
+
+
 class Counter:
     """Pieces and score of the best segmentation of a text, under a unigram model with byte fallback.
 
@@ -47,30 +59,31 @@ class Counter:
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         split_line = not any("\n" in p for p, _ in vocabulary)
         self.breaks = "\n" if split_line else None
-        self.words: dict[str, int] = {}
-        self.heads: dict[str, int] = {}
+        self.words = _Costs(lambda w: self._cost(SPACE + w))
+        self.heads = _Costs(self._cost)
 
     def segment(self, word: str) -> tuple[int, float]:
         """(pieces, score) of a word as it stands."""
-        n = len(word)
-        ends: list[list | None] = [None] * n
-        for end, m in self.machine.iter(word):
-            if ends[end] is None:
-                ends[end] = [m]
-            else:
-                ends[end].append(m)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
-        for e in range(1, n + 1):
-            best, pieces, own = None, 0, False
-            for length, s in sorted(ends[e - 1] or (), reverse=True):
-                s += score[e - length]
-                own = own or length == 1
-                if best is None or s > best:
-                    best, pieces = s, count[e - length] + 1
-            if not own and (best is None or score[e - 1] + self.unknown > best):
-                best, pieces = score[e - 1] + self.unknown, count[e - 1] + len(word[e - 1].encode("utf-8", "surrogatepass"))
-            score[e], count[e] = best, pieces
-        return count[n], score[n]
+        none, unknown, last = float("-inf"), self.unknown, len(word) - 1
+        score, count, at = [0.0], [0], 0  # of the best path to each settled position; the next match ends at at + 1 or later
+        best, pieces, longest, own = none, 0, 0, False
+        for end, (length, s) in chain(self.machine.iter(word), ((last + 1, (0, none)),)):
+            while at < end:  # matches come in order of their ends, so nothing more ends here
+                if not own and score[at] + unknown > best:
+                    best, pieces = score[at] + unknown, count[at] + len(word[at].encode("utf-8", "surrogatepass"))
+                score.append(best)
+                count.append(pieces)
+                at += 1
+                best, own = none, False
+            if end > last:
+                break
+            start = end + 1 - length
+            s += score[start]
+            if s > best or (s == best and length > longest):
+                best, pieces, longest = s, count[start] + 1, length
+            if length == 1:
+                own = True
+        return count[-1], score[-1]
 
     def _cost(self, word: str) -> int:
         """Score and count in one whole number."""
@@ -89,15 +102,8 @@ class Counter:
         for k, line in enumerate(lines):
             head, *parts = line.split(" ")
             if head:
-                if head not in heads:
-                    heads[head] = self._cost(head)
                 total += heads[head]
-            for p in parts:
-                try:
-                    total += words[p]
-                except KeyError:
-                    words[p] = c = self._cost(SPACE + p)
-                    total += c
+            total += sum(map(words.__getitem__, parts))
         total += (len(lines) - 1) * ((int(-self.unknown) << 44) + 1)
         if len(words) + len(heads) > REMEMBERED:
             words.clear()
