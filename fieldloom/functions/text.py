@@ -42,3 +42,9 @@ def join_words(*parts: Column) -> Column:
 def result_state(own: Column, other: Column) -> Column:
     """win, loss or tie; null unless both are there."""
     return F.when(own > other, "win").when(own < other, "loss").when(own == other, "tie")
+
+
+@F.pandas_udf(T.StringType())
+def folded_text(s: pd.Series) -> pd.Series:
+    """Runs of white space made one space, trimmed, fully case-folded, without normalisation: for names of a dimension."""
+    return s.map(folded)
