@@ -1,4 +1,4 @@
-"""Benchmark decontamination: windows over text whose numbers, names and units are typed placeholders."""
+"""Benchmark decontamination: windows over text whose numbers, names and units are typed placeholders, or that differ in case only."""
 
 from __future__ import annotations
 
@@ -19,6 +19,8 @@ ENOUGH = 6
 LEAST_TOKENS, LEAST_WORDS = 4, 3
 #: Up to so many windows of the benchmark, documents' windows are looked up before they are joined.
 LOOKED_UP = 2_000_000
+#: Begins the template of a window that is compared as it stands, but for case.
+LITERAL = "= "
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
     "mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons ml cl l liter liters litre litres gallon gallons cup cups "
@@ -30,89 +32,138 @@ _ENDS = frozenset(".!?\n")
 _SIGNS = frozenset("$€£%")
 
 
-def canonical(text: str) -> tuple[list[str], list[str]]:
-    """(tokens, raw): lower-cased words with <num>, <unit> and <name> in place of their kinds; raw has what stood there.
+def folded(text: str) -> tuple[list[str], list[str], list[int], list[int]]:
+    """(tokens, raw, inside, initial): lower-cased words with <num> and <unit> in place of their kinds; raw has what stood there, lower-cased.
 
-    A unit is a unit word or sign next to a number; a name is a capitalised word that doesn't begin a sentence.
+    A unit is a unit word or sign next to a number. inside and initial are the places of the capitalised words within
+    and at the beginning of sentences.
     """
-    raw = _TOKEN.findall(text)
-    out, kept, first, after_number = [], [], True, False
-    for t in raw:
+    out, raw, inside, initial, first, after_number = [], [], [], [], True, False
+    for t in _TOKEN.findall(text):
         c = t[0]
         if c in _ENDS:
             first, after_number = True, False
             continue
+        low = t.lower()
         if c.isdigit():
             out.append("<num>")
             after_number = True
-        elif c in _SIGNS or after_number and t.lower() in UNITS:
+        elif c in _SIGNS or after_number and low in UNITS:
             out.append("<unit>")
             after_number = False
         else:
-            out.append("<name>" if not first and t != t.lower() else t.lower())
+            if low != t:
+                (initial if first else inside).append(len(raw))
+            out.append(low)
             after_number = False
-        kept.append(t)
+        raw.append(low)
         first = False
-    return out, kept
+    return out, raw, inside, initial
 
 
-def windows(tokens: list[str], raw: list[str], width: int) -> Iterator[tuple[int, str, list[str]]]:
-    """(position, template, slot values) of each window with enough words."""
-    for k in range(len(tokens) - width + 1):
-        if (w := _window(tokens, raw, k, width)) is not None:
-            yield w
+def canonical(tokens: list[str], raw: list[str], inside: list[int], initial: list[int]) -> tuple[list[str], list[str], list[int]]:
+    """(tokens, raw, at) of folded text with <name> in place of names; at has where each token stands in the folded text.
+
+    A name is a capitalised word that doesn't begin a sentence.
+    """
+    names = set(inside)
+    return ["<name>" if k in names else t for k, t in enumerate(tokens)], raw, list(range(len(raw)))
 
 
-def _window(tokens: list[str], raw: list[str], k: int, width: int) -> tuple[int, str, list[str]] | None:
+def _window(tokens: list[str], raw: list[str], k: int, width: int) -> tuple[str, list[str]] | None:
+    """(template, slot values with their kind's first letter) of a window with enough words."""
     part = tokens[k : k + width]
-    slots = [raw[k + i] for i, t in enumerate(part) if t[0] == "<"]
+    slots = [t[1] + raw[k + i] for i, t in enumerate(part) if t[0] == "<"]
     if width - len(slots) < min(LEAST_WORDS, width - 1):
         return None
-    return k, " ".join(part), slots
+    return " ".join(part), slots
+
+
+def _literal(raw: list[str], k: int, width: int) -> tuple[str, list[str]]:
+    return LITERAL + " ".join(raw[k : k + width]), []
 
 
-_ITEM = "item_id long, item_pos int, template string, item_slots array<string>, n_windows int, width int"
-_DOC = "doc_id long, doc_pos int, template string, doc_slots array<string>"
+def item_windows(text: str) -> list[tuple[int, str, list[str], bool, int]]:
+    """(position, template, slots, typed, width): windows with names typed, the same with names as words, or else literal ones."""
+    tokens, raw, inside, initial = folded(text)
+    if len(raw) < LEAST_TOKENS:
+        return []
+    out, seen = [], set()
+    typed, values, at = canonical(tokens, raw, inside, initial)
+    for part, held, where, names in ((typed, values, at, True), (tokens, raw, range(len(raw)), False)):
+        width = min(WINDOW, len(part))
+        for k in range(len(part) - width + 1) if width >= LEAST_TOKENS else ():
+            w = _window(part, held, k, width)
+            if w is not None and (where[k], w[0]) not in seen:
+                seen.add((where[k], w[0]))
+                out.append((where[k], *w, names, width))
+    if not out:
+        width = min(WINDOW, len(raw))
+        out = [(k, *_literal(raw, k, width), False, width) for k in range(len(raw) - width + 1)]
+    return out
 
 
-def _arrow(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
+_ITEM = "item_id long, item_part long, item_pos int, template string, item_slots array<string>, typed boolean, width int, n_windows int, n_typed int"
+_DOC = "doc_id long, doc_part long, doc_pos int, template string, doc_slots array<string>"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}
+
+
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], list(names))
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, types = ["item_id", "item_pos", "template", "item_slots", "n_windows", "width"], [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32()]
     for rb in batches:
         rows = []
-        for i, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-            tokens, raw = canonical(text)
-            width = min(WINDOW, len(tokens))
-            if len(tokens) >= LEAST_TOKENS:
-                found = list(windows(tokens, raw, width))
-                rows += [(i, *w, len(found), width) for w in found]
-        yield _arrow(rows, names, types)
+        for i, part, text in zip(*(c.to_pylist() for c in rb.columns)):
+            found = item_windows(text)
+            n, n_typed = len({w[0] for w in found}), len({w[0] for w in found if w[3]})
+            rows += [(i, part, *w, n, n_typed) for w in found]
+        yield _arrow(rows, _ITEM)
 
 
-def _doc_windows(widths: list[int], known: frozenset[str] | None):
-    """Document windows; with known, only those of known templates, found from runs of words that known templates hold."""
-    vocabulary = None if known is None else {w for t in known for w in t.split(" ")}
+def _doc_windows(widths: list[int], known: frozenset[str] | None, literal: bool):
+    """Document windows; with known, only those of known templates, found from runs of words that known templates hold.
+
+    Each window is given with names as words and, if it holds any, with names typed; with literal, as it stands too.
+    """
+    words = exact = None
+    if known is not None:
+        words = {w for t in known if not t.startswith(LITERAL) for w in t.split(" ")}
+        exact = {w for t in known if t.startswith(LITERAL) for w in t[len(LITERAL) :].split(" ")}
+
+    def starts(tokens: list[str], width: int, vocabulary: set[str] | None) -> list[int]:
+        if len(tokens) < width:
+            return []
+        if vocabulary is None:
+            return list(range(len(tokens) - width + 1))
+        seen = np.cumsum(np.fromiter(map(vocabulary.__contains__, tokens), np.int32, len(tokens)))
+        return np.flatnonzero(seen[width - 1 :] - np.concatenate([[0], seen[:-width]]) == width).tolist()
+
+    def of(text: str) -> Iterator[tuple[int, str, list[str]]]:
+        tokens, raw, inside, initial = folded(text)
+        streams = [(tokens, raw, range(len(raw)))]
+        if inside:
+            streams.append(canonical(tokens, raw, inside, initial))
+        for width in widths:
+            for n, (part, held, at) in enumerate(streams):
+                for k in starts(part, width, words):
+                    w = _window(part, held, k, width)
+                    if w is not None and (known is None or w[0] in known) and (n == 0 or "<name>" in w[0]):
+                        yield at[k], *w
+            if literal:
+                for k in starts(raw, width, exact):
+                    w = _literal(raw, k, width)
+                    if known is None or w[0] in known:
+                        yield k, *w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rows = []
-            for i, text in zip(rb.column(0).to_pylist(), rb.column(1)):
-                tokens, raw = canonical(text.as_py())
-                for width in widths:
-                    if len(tokens) < width:
-                        continue
-                    if known is None:
-                        rows += [(i, *w) for w in windows(tokens, raw, width)]
-                        continue
-                    seen = np.cumsum(np.fromiter(map(vocabulary.__contains__, tokens), np.int32, len(tokens)))
-                    full = seen[width - 1 :] - np.concatenate([[0], seen[:-width]]) == width
-                    for k in np.flatnonzero(full).tolist():
-                        if (w := _window(tokens, raw, k, width)) is not None and w[1] in known:
-                            rows.append((i, *w))
-            yield _arrow(rows, ["doc_id", "doc_pos", "template", "doc_slots"], [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())])
+            for i, part, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2)):
+                rows += [(i, part, *w) for w in of(text.as_py())]
+            yield _arrow(rows, _DOC)
 
     return run
 
@@ -120,30 +171,39 @@ def _doc_windows(widths: list[int], known: frozenset[str] | None):
 def contaminated(docs: DataFrame, benchmark: DataFrame, looked_up: int = LOOKED_UP) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed) of each document and item that match, whole texts.
 
-    Windows of eight canonical tokens (of all tokens for items of 4 to 7) are joined on their template. Those of one
-    alignment of a document with an item match if there are six of them, or all the item has, and if their slots are
-    consistent: each value of the item stands for one value in the document and the other way round. n_changed
-    counts the values that differ: 0 is a copy, more a re-parameterised question. The best alignment is reported.
+    Windows of eight canonical tokens (of all tokens for items of 4 to 7) are joined on their template: with names typed,
+    or with all words lower-cased, so that text in another case is found. An item without a window of enough words is
+    searched for as it stands. Those of one alignment of a document with an item match if there are six of them, or all
+    the item has, and if their slots are consistent: each value of the item stands for one value in the document and
+    the other way round. n_changed counts the values that differ: 0 is a copy, more a re-parameterised question. The
+    best alignment is reported.
     Null and empty texts, and items of under four tokens, match nothing; null ids match nothing; repeated documents,
     items and rows count once for each pair of ids; empty tables give no rows.
     """
     spark = docs.sparkSession
     ship_package(spark)
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), text_of().alias("text")).distinct()
+    items = items.select("item_id", F.xxhash64("text").alias("item_part"), "text")
     items = materialize(items.mapInArrow(_item_windows, _ITEM), "items")
     n = items.count()
     known = frozenset(r[0] for r in items.select("template").distinct().collect()) if n <= looked_up else None
+    literal = not items.where(F.col("template").startswith(LITERAL)).isEmpty()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # WINDOW at most
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    found = slim.mapInArrow(_doc_windows(widths, known), _DOC)
-    at = found.join(F.broadcast(items) if n <= 50_000 else items, "template")
-    at = at.select("doc_id", "item_id", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), F.arrays_zip("item_slots", "doc_slots").alias("slots"), "n_windows")
-    each = at.groupBy("doc_id", "item_id", "shift").agg(
-        F.count_distinct("item_pos").cast("int").alias("n"), F.max("n_windows").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs")
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("doc_part"), "text")
+    found = slim.mapInArrow(_doc_windows(widths, known, literal), _DOC)
+    at = found.join(F.broadcast(items.drop("width")) if n <= 50_000 else items.drop("width"), "template")
+    at = at.withColumn("shift", F.col("doc_pos") - F.col("item_pos")).withColumn("slots", F.arrays_zip("item_slots", "doc_slots"))
+    # Where names agree as typed, their values are held against each other; the same window as plain words says nothing more.
+    spot = at.groupBy("doc_id", "doc_part", "item_id", "item_part", "shift", "item_pos").agg(
+        F.max("n_windows").alias("n_windows"), F.max("n_typed").alias("n_typed"), F.max("typed").alias("typed"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
+    each = spot.groupBy("doc_id", "doc_part", "item_id", "item_part", "shift").agg(
+        F.count("*").cast("int").alias("n"), F.count_if("typed").alias("typed"), F.max("n_windows").alias("n_windows"), F.max("n_typed").alias("n_typed"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"),
+    )
     size = lambda c: F.size(F.array_distinct(c))
     each = each.withColumn("n_slots", F.size("pairs")).where(
-        (F.col("n") >= F.least(F.col("n_windows"), F.lit(ENOUGH)))
+        ((F.col("n") >= F.least(F.col("n_windows"), F.lit(ENOUGH))) | (F.col("n_typed") > 0) & (F.col("typed") >= F.least(F.col("n_typed"), F.lit(ENOUGH))))
         & (size(F.col("pairs.item_slots")) == F.col("n_slots"))
         & (size(F.col("pairs.doc_slots")) == F.col("n_slots"))
     )

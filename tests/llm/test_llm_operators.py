@@ -175,6 +175,20 @@ def test_decontamination(spark, docs):
     assert {r.doc_id for r in decontaminate.decontaminated(frame(spark, rows), b).collect()} == {3, 4, 5, 6, 8, None}
 
 
+def matched(spark, items, rows, looked_up=1000):
+    b = spark.createDataFrame(items, "item_id long, text string")
+    return {tuple(r) for r in decontaminate.contaminated(frame(spark, rows), b, looked_up).select("doc_id", "item_id").collect()}
+
+
+def test_decontamination_in_another_case(spark):
+    item = "On Monday the tall baker sold 12 kg of bread to Anna and then he gave 3 loaves to Bob before the shop closed"
+    loud = "EVERY WORD OF THIS ITEM STANDS IN CAPITALS AND THERE ARE 3 OF THEM"
+    items = [(1, item), (2, loud), (3, "12 15 18 21 24 27 30 33 36 39")]
+    rows = [(1, "x " + item.upper() + " y"), (2, item.title()), (3, item.lower()), (4, "So every word of this item stands in capitals and there are 3 of them."), (5, "so 12 15 18 21 24 27 30 33 36 39 it is"), (6, "13 15 18 22 24 28 30 33 37 39")]
+    for looked_up in (1000, 0):
+        assert matched(spark, items, rows, looked_up) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
+
+
 def test_token_counts_match_the_library(spark, docs):
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
