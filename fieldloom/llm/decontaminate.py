@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm._shared import materialize, ship_package, text_of
+from fieldloom.llm._shared import dealt_by, materialize, partitions, ship_package, sorted_groups, text_of
 
 WINDOW = 8
 #: Aligned windows that make a match: 13 tokens on end, or all windows of a shorter item.
 ENOUGH = 6
+#: Places by which an alignment may shift from one window to the next, by words put in or left out.
+DRIFT = 8
 #: An item of fewer tokens is not searched for; a window needs so many that are no placeholder.
 LEAST_TOKENS, LEAST_WORDS = 4, 3
 #: Up to so many windows of the benchmark, documents' windows are looked up before they are joined.
@@ -61,19 +64,45 @@ def folded(text: str) -> tuple[list[str], list[str], list[int], list[int]]:
     return out, raw, inside, initial
 
 
-def canonical(tokens: list[str], raw: list[str], inside: list[int], initial: list[int]) -> tuple[list[str], list[str], list[int]]:
-    """(tokens, raw, at) of folded text with <name> in place of names; at has where each token stands in the folded text.
-
-    A name is a capitalised word that doesn't begin a sentence.
-    """
+def _names(raw: list[str], inside: list[int], initial: list[int]) -> set[int]:
+    """Places of names: capitalised words within a sentence, and at its beginning where the nearest other place of the word within a sentence has it so."""
     names = set(inside)
-    return ["<name>" if k in names else t for k, t in enumerate(tokens)], raw, list(range(len(raw)))
+    known = {raw[k] for k in inside}
+    doubtful = [k for k in initial if raw[k] in known]
+    if doubtful:
+        begun, wanted, places = set(initial), {raw[k] for k in doubtful}, {}
+        for k, w in enumerate(raw):
+            if w in wanted and k not in begun:
+                places.setdefault(w, []).append(k)
+        for k in doubtful:
+            at = places[raw[k]]
+            j = bisect_left(at, k)
+            names |= {k} if min(at[max(0, j - 1) : j + 1], key=lambda x: abs(x - k)) in names else set()
+    return names
+
+
+def canonical(tokens: list[str], raw: list[str], inside: list[int], initial: list[int]) -> tuple[list[str], list[str], list[int]]:
+    """(tokens, raw, at) of folded text with <name> in place of each run of names; at has where each token stands in the folded text."""
+    names, begun = _names(raw, inside, initial), set(initial)
+    out, values, at = [], [], []
+    for k, t in enumerate(tokens):
+        if k not in names:
+            out.append(t)
+            values.append(raw[k])
+            at.append(k)
+        elif k - 1 in names and k not in begun:
+            values[-1] += " " + raw[k]
+        else:
+            out.append("<name>")
+            values.append(raw[k])
+            at.append(k)
+    return out, values, at
 
 
 def _window(tokens: list[str], raw: list[str], k: int, width: int) -> tuple[str, list[str]] | None:
-    """(template, slot values with their kind's first letter) of a window with enough words."""
+    """(template, slot values, each after a letter of its kind) of a window with enough words."""
     part = tokens[k : k + width]
-    slots = [t[1] + raw[k + i] for i, t in enumerate(part) if t[0] == "<"]
+    slots = [t[2] + raw[k + i] for i, t in enumerate(part) if t[0] == "<"]
     if width - len(slots) < min(LEAST_WORDS, width - 1):
         return None
     return " ".join(part), slots
@@ -168,13 +197,71 @@ def _doc_windows(widths: list[int], known: frozenset[str] | None, literal: bool)
     return run
 
 
+def chains(hits: Iterable[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Alignments of (place in the item, place in the document): both places rise, and the shift between them changes by DRIFT at most a step.
+
+    The longest come first; each hit is in one.
+    """
+    best: dict[tuple[int, int], tuple[int, tuple[int, int] | None]] = {}
+    last: dict[int, tuple[int, int]] = {}
+    hits = sorted(hits, key=lambda h: (h[1], -h[0]))
+    for p, q in hits:
+        length, before = 0, None
+        for step in range(-DRIFT, DRIFT + 1):
+            g = last.get(q - p + step)
+            if g is not None and g[0] < p and g[1] < q and (best[g][0], -abs(step)) > (length, -abs(before[1] - before[0] - q + p) if before else 0):
+                length, before = best[g][0], g
+        best[p, q] = length + 1, before
+        last[q - p] = p, q
+    used = set()
+    for h in sorted(hits, key=lambda h: -best[h][0]):
+        chain = []
+        while h is not None and h not in used:
+            used.add(h)
+            chain.append(h)
+            h = best[h][1]
+        if chain:
+            yield chain[::-1]
+
+
+def _agree(slots: list[set[tuple[str, str]]]) -> tuple[list[int], set[tuple[str, str]]]:
+    """(indices of the windows, pairs of slot values) if each value of the item stands for one in the document and the other way round."""
+    pairs = set().union(*slots)
+    if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+        return [], set()
+    return list(range(len(slots))), pairs
+
+
+_KEYS = ("doc_id", "item_id", "doc_part", "item_part")
+_MATCH = "doc_id long, item_id long, n int, n_windows int, n_slots int, n_changed int"
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for key, g in sorted_groups(batches, *_KEYS):
+        n_windows, n_typed = g.column("n_windows")[0].as_py(), g.column("n_typed")[0].as_py()
+        if len(g) < min(x for x in (n_windows, n_typed, ENOUGH) if x):
+            continue
+        hits: dict[tuple[int, int], tuple[bool, set[tuple[str, str]]]] = {}
+        for p, q, typed, a, b in zip(*(g.column(c).to_pylist() for c in ("item_pos", "doc_pos", "typed", "item_slots", "doc_slots"))):
+            had = hits.get((p, q), (False, set()))
+            hits[p, q] = had[0] or typed, had[1] | set(zip(a, b))
+        rows = []
+        for chain in chains(hits):
+            kept, pairs = _agree([hits[h][1] for h in chain])
+            n, typed = len(kept), sum(hits[chain[k]][0] for k in kept)
+            if n and (n >= min(n_windows, ENOUGH) or n_typed and typed >= min(n_typed, ENOUGH)):
+                rows.append((*key[:2], n, n_windows, len(pairs), sum(a != b for a, b in pairs)))
+        if rows:
+            yield _arrow([max(rows)], _MATCH)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, looked_up: int = LOOKED_UP) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed) of each document and item that match, whole texts.
 
     Windows of eight canonical tokens (of all tokens for items of 4 to 7) are joined on their template: with names typed,
     or with all words lower-cased, so that text in another case is found. An item without a window of enough words is
-    searched for as it stands. Those of one alignment of a document with an item match if there are six of them, or all
-    the item has, and if their slots are consistent: each value of the item stands for one value in the document and
+    searched for as it stands. An alignment may shift by up to eight places from a window to the next. Its windows match
+    if there are six of them, or all the item has, and if their slots are consistent: each value of the item stands for one value in the document and
     the other way round. n_changed counts the values that differ: 0 is a copy, more a re-parameterised question. The
     best alignment is reported.
     Null and empty texts, and items of under four tokens, match nothing; null ids match nothing; repeated documents,
@@ -192,23 +279,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, looked_up: int = LOOKED_
     slim = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("doc_part"), "text")
     found = slim.mapInArrow(_doc_windows(widths, known, literal), _DOC)
     at = found.join(F.broadcast(items.drop("width")) if n <= 50_000 else items.drop("width"), "template")
-    at = at.withColumn("shift", F.col("doc_pos") - F.col("item_pos")).withColumn("slots", F.arrays_zip("item_slots", "doc_slots"))
-    # Where names agree as typed, their values are held against each other; the same window as plain words says nothing more.
-    spot = at.groupBy("doc_id", "doc_part", "item_id", "item_part", "shift", "item_pos").agg(
-        F.max("n_windows").alias("n_windows"), F.max("n_typed").alias("n_typed"), F.max("typed").alias("typed"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
-    )
-    each = spot.groupBy("doc_id", "doc_part", "item_id", "item_part", "shift").agg(
-        F.count("*").cast("int").alias("n"), F.count_if("typed").alias("typed"), F.max("n_windows").alias("n_windows"), F.max("n_typed").alias("n_typed"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"),
-    )
-    size = lambda c: F.size(F.array_distinct(c))
-    each = each.withColumn("n_slots", F.size("pairs")).where(
-        ((F.col("n") >= F.least(F.col("n_windows"), F.lit(ENOUGH))) | (F.col("n_typed") > 0) & (F.col("typed") >= F.least(F.col("n_typed"), F.lit(ENOUGH))))
-        & (size(F.col("pairs.item_slots")) == F.col("n_slots"))
-        & (size(F.col("pairs.doc_slots")) == F.col("n_slots"))
-    )
-    changed = F.size(F.filter("pairs", lambda p: p["item_slots"] != p["doc_slots"]))
-    best = F.max(F.struct("n", "n_windows", "n_slots", changed.alias("n_changed"))).alias("b")
+    at = at.select(*_KEYS, "item_pos", "doc_pos", "typed", "item_slots", "doc_slots", "n_windows", "n_typed")
+    each = dealt_by(at, partitions(spark), *_KEYS).mapInArrow(_matches, _MATCH)
+    best = F.max(F.struct("n", "n_windows", "n_slots", "n_changed")).alias("b")
     out = each.groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", F.col("b.n").alias("n_windows"), F.col("b.n_windows").alias("item_windows"), "b.n_slots", "b.n_changed")
 
