@@ -22,6 +22,8 @@ DRIFT = 8
 LEAST_TOKENS, LEAST_WORDS = 4, 3
 #: Up to so many windows of the benchmark, documents' windows are looked up before they are joined.
 LOOKED_UP = 2_000_000
+#: The letter before a slot value that is a name.
+NAME = "a"
 #: Begins the template of a window that is compared as it stands, but for case.
 LITERAL = "= "
 UNITS = frozenset(
@@ -225,11 +227,26 @@ def chains(hits: Iterable[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
 
 
 def _agree(slots: list[set[tuple[str, str]]]) -> tuple[list[int], set[tuple[str, str]]]:
-    """(indices of the windows, pairs of slot values) if each value of the item stands for one in the document and the other way round."""
-    pairs = set().union(*slots)
-    if len({a for a, _ in pairs}) < len(pairs) or len({b for _, b in pairs}) < len(pairs):
+    """(indices of windows, pairs of slot values) where each value of the item stands for one in the document.
+
+    For each value of the item, those that stand in most windows first, the value of the document with most of the
+    windows left is taken and windows with another are put aside. Different values of the item may get the same one,
+    but a name of the item that keeps its place may not take another name's place as well: then nothing agrees.
+    """
+    left = set(range(len(slots)))
+    where: dict[str, dict[str, set[int]]] = {}
+    for k, pairs in enumerate(slots):
+        for a, b in pairs:
+            where.setdefault(a, {}).setdefault(b, set()).add(k)
+    for _, had in sorted(where.items(), key=lambda x: (-len(set().union(*x[1].values())), x[0])):
+        if len(had) > 1:
+            taken = max(had, key=lambda b: (len(had[b] & left), b))
+            left -= set().union(*(ks for b, ks in had.items() if b != taken))
+    kept = sorted(left)
+    pairs = set().union(*(slots[k] for k in kept))
+    if any(a != b and a[0] == NAME and (b, b) in pairs for a, b in pairs):
         return [], set()
-    return list(range(len(slots))), pairs
+    return kept, pairs
 
 
 _KEYS = ("doc_id", "item_id", "doc_part", "item_part")
@@ -261,8 +278,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, looked_up: int = LOOKED_
     Windows of eight canonical tokens (of all tokens for items of 4 to 7) are joined on their template: with names typed,
     or with all words lower-cased, so that text in another case is found. An item without a window of enough words is
     searched for as it stands. An alignment may shift by up to eight places from a window to the next. Its windows match
-    if there are six of them, or all the item has, and if their slots are consistent: each value of the item stands for one value in the document and
-    the other way round. n_changed counts the values that differ: 0 is a copy, more a re-parameterised question. The
+    if there are six of them, or all the item has, whose slots are consistent: each value of the item stands for one value in the document; windows that
+    differ from most are left out. n_changed counts the values that differ: 0 is a copy, more a re-parameterised question. The
     best alignment is reported.
     Null and empty texts, and items of under four tokens, match nothing; null ids match nothing; repeated documents,
     items and rows count once for each pair of ids; empty tables give no rows.

@@ -200,6 +200,13 @@ def test_decontamination_with_other_names(spark):
     assert list(decontaminate.chains([(0, 5), (1, 6), (2, 9), (0, 50)])) == [[(0, 5), (1, 6), (2, 9)], [(0, 50)]]
 
 
+def test_decontamination_with_equal_values(spark):
+    item = "A farmer sold 3 eggs and 5 loaves to Anna and Bob, then walked home with 7 coins and fed all of the hens, the cow and the 3 old dogs before it was dark outside"
+    rows = [(1, item.replace("3", "4").replace("5", "4")), (2, item.replace("Anna", "Clara").replace("Bob", "Clara")), (3, item.replace("the 3 old", "the 9 old")), (4, item.replace("Bob", "Anna"))]
+    assert matched(spark, [(1, item)], rows) == {(1, 1), (2, 1), (3, 1)}
+    assert decontaminate._agree([{("u1", "u2")}, {("u1", "u3")}, {("u1", "u3"), ("u4", "u3")}]) == ([1, 2], {("u1", "u3"), ("u4", "u3")})
+
+
 def test_token_counts_match_the_library(spark, docs):
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
