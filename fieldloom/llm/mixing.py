@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm._shared import materialize, text_of
+from fieldloom.llm._shared import materialize, ship_package, text_of
 
 #: Tokens in a block of a source, about.
 BLOCK_TOKENS = 262_144
 #: Each pass of the bisection tries so many exponents at once.
 TRIED, PASSES = 32, 8
+#: Up to so many rows taken beyond the first that doesn't fit are sent to all workers.
+BROADCAST_ROWS = 1_000_000
 #: Weights are kept as whole billionths, so that quotas are whole-number arithmetic.
 UNIT = 1_000_000_000
 
@@ -71,11 +74,26 @@ def exponent(totals: DataFrame, budget: int, target_entropy: float | None, max_r
     return min(1.0, a)
 
 
-def plan(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | None = 0.98, max_repeat: float | None = 2.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows, blocks): rows are doc_id, source, n_tokens, block and key; blocks say what the mixture takes of each block.
+_FIT = "source string, block long, key long"
+
+
+def _fitting(group: pa.Table) -> pa.Table:
+    """Of the last block's keys in order, each that still fits into what is left of the quota."""
+    group = group.sort_by("key")
+    left, taken = group.column("room")[0].as_py(), []
+    for k, n in enumerate(group.column("n").to_pylist()):
+        if n <= left:
+            left -= n
+            taken.append(k)
+    return group.select(["source", "block", "key"]).take(pa.array(taken, pa.int64()))
+
+
+def plan(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | None = 0.98, max_repeat: float | None = 2.0, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, blocks, fitting): rows are doc_id, source, n_tokens, block and key; blocks say what the mixture takes of each block.
 
     blocks holds source, block, place (of the block in its source's permutation), passes (whole passes over the
-    source) and cut (in the last, partial pass rows of the block with a key up to it are taken; -1: none).
+    source) and whole (the last, partial pass takes all of the block). fitting holds source, block and key of the rows
+    that the last pass takes of the block in which the quota ends: in order of their keys, each that still fits.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of().alias("source"), n_tokens().alias("n_tokens"))
     rows = materialize(rows, "tokens")
@@ -102,14 +120,12 @@ def plan(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | Non
     sums = sums.withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
     sums = materialize(sums, "blocks")
     split = sums.where("before < rest and before + tokens > rest").select("source", "block", "before")
-    inside = rows.join(split, ["source", "block"])
-    up_to = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("key"))
-    cut = inside.withColumn("up_to", F.col("before") + up_to).where("up_to <= rest").groupBy("source", "block").agg(F.max("key").alias("last"))
-    blocks = sums.join(cut, ["source", "block"], "left").select(
-        "source", "block", "place", "passes",
-        F.expr("case when before + tokens <= rest and rest > 0 then 9223372036854775807L when before < rest then coalesce(last, -1L) else -1L end").alias("cut"),
-    )
-    return rows.select("doc_id", "source", "n_tokens", "block", "key", "n_blocks"), blocks
+    ship_package(docs.sparkSession)
+    inside = rows.join(split, ["source", "block"]).groupBy("source", "block", "key").agg(F.sum("n_tokens").alias("n"), F.first(F.col("rest") - F.col("before")).alias("room"))
+    fitting = materialize(inside.where("n <= room").groupBy("source", "block").applyInArrow(_fitting, _FIT), "fitting")
+    blocks = sums.select("source", "block", "place", "passes", F.expr("before + tokens <= rest and rest > 0").alias("whole"))
+    fitting = F.broadcast(fitting) if fitting.count() <= BROADCAST_ROWS else fitting
+    return rows.select("doc_id", "source", "n_tokens", "block", "key", "n_blocks"), blocks, fitting
 
 
 def mixture(docs: DataFrame, budget_share: float = 1.0, target_entropy: float | None = 0.98, max_repeat: float | None = 2.0, seed: int = 0) -> DataFrame:
@@ -117,22 +133,24 @@ def mixture(docs: DataFrame, budget_share: float = 1.0, target_entropy: float |
 
     The weights are the token shares to the found exponent, normalised; a source's quota is its weight of the budget
     (budget_share of all tokens). Whole passes take every row; the last takes blocks in the order of a permutation
-    drawn for that pass, and of the block in which the quota ends the rows in order of a hash up to it, ties together.
+    drawn for that pass, and of the block in which the quota ends, in order of a hash, each row that still fits, ties together.
     The quota is never exceeded. Sources whose rows have no tokens pass once. A null source is the source ''; null and
     empty texts have no tokens; rows that repeat a doc_id are taken together; an empty table gives no rows.
     """
-    rows, blocks = plan(docs, budget_share, target_entropy, max_repeat, seed)
-    used = rows.join(blocks, ["source", "block"]).withColumn("times", F.expr("passes + int(key <= cut)")).where("times > 0")
+    rows, blocks, fitting = plan(docs, budget_share, target_entropy, max_repeat, seed)
+    used = rows.join(blocks, ["source", "block"]).join(fitting.withColumn("fits", F.lit(True)), ["source", "block", "key"], "left")
+    used = used.withColumn("times", F.expr("passes + int(whole or fits is not null)")).where("times > 0")
     return used.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"), "block", "place")
 
 
 def mixed(docs: DataFrame, budget_share: float = 0.8, target_entropy: float | None = 0.98, seed: int = 0) -> DataFrame:
     """The rows of docs that a mixture without repetition uses, with their columns."""
-    rows, blocks = plan(docs, budget_share, target_entropy, 1.0, seed)
-    taken = blocks.select("source", "block", "passes", "cut")
+    rows, blocks, fitting = plan(docs, budget_share, target_entropy, 1.0, seed)
+    taken = blocks.select("source", "block", "passes", "whole")
     sizes = rows.groupBy("source").agg(F.first("n_blocks").alias("n_blocks"))
     key = _hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
     d = docs.withColumn("_source", source_of()).withColumn("_key", key)
     d = d.join(sizes.withColumnRenamed("source", "_source"), "_source").withColumn("_block", F.col("_key") % F.col("n_blocks"))
-    d = d.join(taken.toDF("_source", "_block", "_passes", "_cut"), ["_source", "_block"])
-    return d.where("_passes > 0 or _key <= _cut").select(*docs.columns)
+    d = d.join(taken.toDF("_source", "_block", "_passes", "_whole"), ["_source", "_block"])
+    d = d.join(fitting.toDF("_source", "_block", "_key").withColumn("_fits", F.lit(True)), ["_source", "_block", "_key"], "left")
+    return d.where("_passes > 0 or _whole or _fits is not null").select(*docs.columns)

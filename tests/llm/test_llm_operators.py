@@ -118,6 +118,15 @@ def test_mixture(docs):
     assert mixing.mixture(empty(docs)).count() == 0
 
 
+def test_mixture_goes_past_a_long_row(spark):
+    # All rows are of one source; by these seeds the long row is among the first three.
+    d = frame(spark, [(5 * 3 * k, "w " * (900 if k == 1 else 10)) for k in range(1, 11)])
+    for seed in (4, 5):
+        used = mixing.mixture(d, budget_share=0.1, max_repeat=1.0, seed=seed).collect()
+        assert sorted(r.n_tokens for r in used) == [10] * 9
+        assert sorted(r.doc_id for r in mixing.mixed(d, budget_share=0.1, seed=seed).collect()) == sorted(r.doc_id for r in used)
+
+
 def test_exponent_meets_its_target(spark):
     t = spark.createDataFrame([("a", 900_000), ("b", 90_000), ("c", 10_000)], "source string, tokens long")
     p = np.array([0.9, 0.09, 0.01])
