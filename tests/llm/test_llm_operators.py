@@ -202,7 +202,7 @@ def test_decontamination_with_other_names(spark):
     item = "Tom has 12 red apples. Tom gives 4 to Ann. How many apples does Tom have left?"
     bob, mary = item.replace("Tom", "Bob"), item.replace("Tom", "Mary Jones")
     long = "early that day the old baker went out to the market and sold all of his bread before noon on the same day again"
-    rows = [(1, bob), (2, mary), (3, mary.replace("12", "30").replace("Ann", "Lee Ray Fox")), (4, "Well. The rest is other prose. " + bob), (5, long.replace("sold", "sold with joy"))]
+    rows = [(1, bob), (2, mary), (3, mary.replace("12", "30").replace("Ann", "Lee Ray Fox")), (4, "Well. The rest is other prose. " + bob), (5, long.replace("sold", "with joy sold"))]
     rows += [(6, "the baker went to the market and sold all that remained of the bread"), (7, "Red apples are many. How many does Tom have left?")]
     for looked_up in (1000, 0):
         assert matched(spark, [(1, item), (2, long)], rows, looked_up) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
