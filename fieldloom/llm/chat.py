@@ -35,25 +35,28 @@ def unescape_role(role):
 def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """(tree, leaf, place, node, score) of each node on each chosen root-to-leaf path; place is 0 at the root.
 
-    nodes has tree, node, parent and score. Round k joins the table of 2^k-th ancestors with itself, so a path of n
-    nodes takes log2(n) rounds. A leaf's score is the sum over its path; of each tree the `best` highest paths are
-    chosen, ties by leaf, or all. A parent that isn't in the tree counts as none; a cycle raises ValueError.
+    nodes has tree, node, parent and score. Round k joins the table of 2^k-th ancestors with itself and with the paths
+    found so far, and writes both, so a path of n nodes takes log2(n) rounds whose plans don't grow. A leaf's score is the
+    sum over its path; of each tree the `best` highest paths are chosen, ties by leaf, or all. A parent that isn't in
+    the tree counts as none; a cycle, and a (tree, node) that is null or repeated, raise ValueError.
     """
     nodes = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    if not nodes.groupBy("tree", "node").count().where("count > 1 or tree is null or node is null").isEmpty():
+        raise ValueError("(tree, node) is null or repeated")
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     known = nodes.select("tree", F.col("node").alias("parent"))
     jump = materialize(nodes.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("far")), "jump-0")
-    jumps = []
+    parents = nodes.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
+    path = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
+    k = 0
     while not jump.isEmpty():
-        if 2 ** len(jumps) > largest:
+        if 2**k > largest:
             raise ValueError("the replies of a tree form a cycle")
-        jumps.append(jump)
+        further = path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), F.col("up") + 2**k)
+        path = materialize(path.union(further), f"path-{k}")
         on = jump.select("tree", F.col("node").alias("far"), F.col("far").alias("farther"))
-        jump = materialize(jump.join(on, ["tree", "far"]).select("tree", "node", F.col("farther").alias("far")), f"jump-{len(jumps)}")
-    parents = nodes.select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
-    path = nodes.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
-    for k, jump in enumerate(jumps):
-        path = path.union(path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), F.col("up") + 2**k))
+        k += 1
+        jump = materialize(jump.join(on, ["tree", "far"]).select("tree", "node", F.col("farther").alias("far")), f"jump-{k}")
     path = path.join(nodes.select("tree", "node", "score"), ["tree", "node"])
     one = Window.partitionBy("tree", "leaf")
     path = path.select("tree", "leaf", "node", (F.max("up").over(one) - F.col("up")).alias("place"), F.sum("score").over(one).alias("score"))
