@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
+#: Rows and bytes in an Arrow batch: a batch of Spark's default 10,000 rows of long texts takes hundreds of megabytes in the
+#: JVM's buffers and again in Python. Set where the session hasn't chosen otherwise.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _shipped: dict[str, bool] = {}
 _own_root: list[str] = []
 
@@ -25,8 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package's source to the executors once, so that Python workers can import it anywhere."""
+    """Send this package's source to the executors once, so that Python workers can import it anywhere; bound Arrow batches."""
     sc = spark.sparkContext
+    for name, default, own in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", own)
     if sc.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="fieldloom-src-")
@@ -40,10 +46,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset a local session (tests) gets a temporary one; a cluster raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="fieldloom-"))
         atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
@@ -107,3 +116,9 @@ def fold_links(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def text_of(column: str = "text"):
     """Null texts are empty ones."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def deal(frame: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, so that no batch on the way back to the JVM is long."""
+    for k in range(0, frame.num_rows, rows):
+        yield frame.slice(k, rows)

@@ -22,6 +22,8 @@ DRIFT = 8
 LEAST_TOKENS, LEAST_WORDS = 4, 3
 #: Up to so many windows of the benchmark, documents' windows are looked up before they are joined.
 LOOKED_UP = 2_000_000
+#: Rows that a worker holds before it passes them on.
+AT_ONCE = 4096
 #: The letter before a slot value that is a name.
 NAME = "a"
 #: Begins the template of a window that is compared as it stands, but for case.
@@ -190,10 +192,15 @@ def _doc_windows(widths: list[int], known: frozenset[str] | None, literal: bool)
                         yield k, *w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for rb in batches:
-            rows = []
             for i, part, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2)):
-                rows += [(i, part, *w) for w in of(text.as_py())]
+                for w in of(text.as_py()):
+                    rows.append((i, part, *w))
+                    if len(rows) == AT_ONCE:
+                        yield _arrow(rows, _DOC)
+                        rows = []
+        if rows:
             yield _arrow(rows, _DOC)
 
     return run
