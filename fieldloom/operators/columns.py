@@ -8,10 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.errors import TransformError
+from fieldloom.names import col, cols
 
 #: Types that strict casts reach.
 PORTABLE = {"boolean": "boolean", "int64": "bigint", "float64": "double", "string": "string", "date32": "date", "timestamp[us]": "timestamp_ntz", "timestamp[us, UTC]": "timestamp"}
 
+#: Texts that a strict cast reads, by the type; Spark alone would take more (white space, type letters, bare years, "yes").
+TEXTS = {
+    "boolean": r"^(true|false)$",
+    "bigint": r"^[+-]?[0-9]+$",
+    "double": r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?inf$|^NaN$",
+    "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    "timestamp_ntz": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?$",
+    "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})$",
+}
+
 
 def _present(df: DataFrame, columns: Sequence[str]) -> None:
     if not columns:
@@ -24,7 +35,7 @@ def _present(df: DataFrame, columns: Sequence[str]) -> None:
 
 def select_columns(df: DataFrame, *, columns: Sequence[str]) -> DataFrame:
     _present(df, columns)
-    return df.select(*columns)
+    return df.select(*cols(columns))
 
 
 def rename_columns(df: DataFrame, *, mapping: Mapping[str, str]) -> DataFrame:
@@ -34,15 +45,16 @@ def rename_columns(df: DataFrame, *, mapping: Mapping[str, str]) -> DataFrame:
         raise TransformError("two columns get one name")
     if clash := set(mapping.values()) & (set(df.columns) - set(mapping)):
         raise TransformError(f"names are taken: {sorted(clash)}")
-    return df.select(*[F.col(c).alias(mapping.get(c, c)) for c in df.columns])
+    return df.select(*[col(c).alias(mapping.get(c, c)) for c in df.columns])
 
 
 def loses(column: str | Column, source: str, target: str) -> Column:
     """True where a cast from the source to the target type would change or lose the value."""
-    c = F.col(column) if isinstance(column, str) else column
+    c = col(column) if isinstance(column, str) else column
     there = c.try_cast(target)
     if source == "string":
-        return c.isNotNull() & there.isNull()
+        plain = c.rlike(TEXTS[target]) if target in TEXTS else F.lit(True)
+        return c.isNotNull() & ~(plain & there.isNotNull())
     return c.isNotNull() & ~there.try_cast(source).eqNullSafe(c)
 
 
@@ -52,10 +64,10 @@ def strict_cast_columns(df: DataFrame, *, columns: Mapping[str, str]) -> DataFra
     if unknown := [t for t in columns.values() if t not in PORTABLE]:
         raise TransformError(f"no such types: {unknown}")
     kinds = dict(df.dtypes)
-    counts = df.agg(*[F.count_if(loses(c, kinds[c], PORTABLE[t])).alias(c) for c, t in columns.items()]).first()
-    if lost := {c: counts[c] for c in columns if counts[c]}:
+    counts = df.agg(*[F.count_if(loses(c, kinds[c], PORTABLE[t])) for c, t in columns.items()]).first()
+    if lost := {c: n for c, n in zip(columns, counts) if n}:
         raise TransformError(f"casts would lose values: {lost}")
-    return df.select(*[F.col(c).cast(PORTABLE[columns[c]]).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return df.select(*[col(c).cast(PORTABLE[columns[c]]).alias(c) if c in columns else col(c) for c in df.columns])
 
 
 def sort_rows(df: DataFrame, *, by: Sequence[str], descending: bool | Sequence[bool] = False, nulls_last: bool = True, ordinal: str | None = None) -> DataFrame:
@@ -64,5 +76,5 @@ def sort_rows(df: DataFrame, *, by: Sequence[str], descending: bool | Sequence[b
     down = [descending] * len(by) if isinstance(descending, bool) else list(descending)
     if len(down) != len(by):
         raise TransformError("directions and keys differ in number")
-    order = [getattr(F.col(c), f"{'desc' if d else 'asc'}_nulls_{'last' if nulls_last else 'first'}")() for c, d in zip(by, down)]
-    return df.orderBy(*order, *([F.col(ordinal)] if ordinal else []))
+    order = [getattr(col(c), f"{'desc' if d else 'asc'}_nulls_{'last' if nulls_last else 'first'}")() for c, d in zip(by, down)]
+    return df.orderBy(*order, *([col(ordinal)] if ordinal else []))

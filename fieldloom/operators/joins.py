@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.checks import keys_unique, none_where, within_universe
+from fieldloom.checks import guarded, keys_unique, none_where, within_universe
 from fieldloom.errors import ContractError
 
 
@@ -84,3 +84,18 @@ def join_one_to_one(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFram
     keys_unique(a, keys)
     keys_unique(b, keys)
     return a.join(b, list(keys), "left")
+
+
+def attach(base: DataFrame, other: DataFrame, keys: Sequence[str], *, into: str, outside: str = "error", label: str = "") -> DataFrame:
+    """Left join of the one row of `other`, whose column `into` is a struct. The checks are part of the plan.
+
+    A key that `other` holds twice fails the query; so does one outside the base, where `outside` is 'error'.
+    """
+    o = other.groupBy(*keys).agg(F.first(into).alias(into), F.count("*").alias("_times"))
+    j = base.withColumn("_base", F.lit(True)).join(o, list(keys), "full_outer" if outside == "error" else "left")
+    rules = [(F.col("_times") > 1, f"{label or into}: a key is there twice")]
+    if outside == "error":
+        rules.insert(0, (F.col("_base").isNull(), f"{label or into}: a row lies outside the base"))
+    elif outside != "ignore":
+        raise ContractError("outside must be error or ignore")
+    return guarded(j, *[(F.coalesce(c, F.lit(False)), w) for c, w in rules]).drop("_base", "_times")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from fieldloom.errors import TransformError
+from fieldloom.names import col, cols
 
 
 def nested_value(value: Column | str, *, path: Sequence[str | int], nulls: str = "error") -> Column:
@@ -16,7 +17,7 @@ def nested_value(value: Column | str, *, path: Sequence[str | int], nulls: str =
         raise TransformError("a path has 1 to 32 tokens")
     if nulls not in ("error", "return_null"):
         raise TransformError("nulls must be error or return_null")
-    c = F.col(value) if isinstance(value, str) else value
+    c = col(value) if isinstance(value, str) else value
     for t in path:
         if isinstance(t, bool) or not isinstance(t, (str, int)):
             raise TransformError(f"not a path token: {t!r}")
@@ -35,11 +36,11 @@ def flatten_struct(df: DataFrame, *, field: str, fields: Sequence[str], prefix:
     if clash := set(kept) & {prefix + f for f in fields}:
         raise TransformError(f"names are taken: {sorted(clash)}")
     if null_struct == "error":
-        if not df.where(F.col(field).isNull()).isEmpty():
+        if not df.where(col(field).isNull()).isEmpty():
             raise TransformError(f"{field} is null in a row")
     elif null_struct != "null_fields":
         raise TransformError("null_struct must be error or null_fields")
-    return df.select(*kept, *[F.col(field).getField(f).alias(prefix + f) for f in fields])
+    return df.select(*cols(kept), *[col(field).getField(f).alias(prefix + f) for f in fields])
 
 
 def explode_list(
@@ -60,28 +61,29 @@ def explode_list(
         raise TransformError(f"null_element={null_element} doesn't fit an {mode} explode")
     if ordinal_field in [c for c in df.columns if c != field]:
         raise TransformError(f"{ordinal_field} is taken")
-    c = F.col(field)
+    c = col(field)
     for policy, bad, what in ((null_list, c.isNull(), "is null"), (empty_list, F.size(c) == 0, "is empty"), (null_element, F.exists(c, lambda x: x.isNull()), "holds a null")):
         if policy == "error" and not df.where(bad).isEmpty():
             raise TransformError(f"{field} {what} in a row")
     each = (F.posexplode_outer if outer else F.posexplode)(c)
     rest = [x for x in df.columns if x != field]
-    out = df.select(*rest, each.alias("_at", field))
+    out = df.select(*cols(rest), each.alias("_at", field))
     if null_element == "drop":
-        out = out.where(F.col(field).isNotNull())
+        out = out.where(col(field).isNotNull())
     ordinal = [(F.col("_at") + ordinal_start).cast("long").alias(ordinal_field)] if ordinal_field else []
-    return out.select(*[F.col(x) for x in df.columns], *ordinal)
+    return out.select(*cols(df.columns), *ordinal)
 
 
 def explode_diagnostics(df: DataFrame, *, field: str) -> DataFrame:
     """One row: rows in, elements out, and rows and null elements that an inner explode leaves out."""
-    n = F.when(F.size(field) > 0, F.size(field)).otherwise(0)
+    c = col(field)
+    n = F.when(F.size(c) > 0, F.size(c)).otherwise(0)
     return df.agg(
         F.count("*").alias("input_rows"),
         F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("output_rows"),
-        F.count_if(F.col(field).isNull()).alias("null_lists"),
-        F.count_if(F.size(field) == 0).alias("empty_lists"),
-        F.coalesce(F.sum(F.size(F.filter(field, lambda x: x.isNull()))), F.lit(0)).cast("long").alias("null_elements"),
+        F.count_if(c.isNull()).alias("null_lists"),
+        F.count_if(F.size(c) == 0).alias("empty_lists"),
+        F.coalesce(F.sum(F.size(F.filter(c, lambda x: x.isNull()))), F.lit(0)).cast("long").alias("null_elements"),
     )
 
 
@@ -94,7 +96,7 @@ def require_one(df: DataFrame) -> Row:
 
 def bind_value(df: DataFrame, column: str, kind: type):
     """A scalar for a later selector: the one row's value, of exactly the given type."""
-    v = require_one(df.select(column))[0]
+    v = require_one(df.select(col(column)))[0]
     if type(v) is not kind:
         raise TransformError(f"{column} is {type(v).__name__}, not {kind.__name__}")
     return v

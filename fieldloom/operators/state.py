@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.errors import IdentityAmbiguous, IdentityNotFound
 from fieldloom.functions.text import identity_text
+from fieldloom.names import col
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -22,11 +23,13 @@ def merge_observations(df: DataFrame, keys: Sequence[str], fields: Sequence[str]
     """For each key and field the value of the highest (authority, time, source) among those observed.
 
     A field is struct(state, value): 'unobserved' never counts, while an observed null can win. A key none of whose
-    observations has a field keeps a null for it.
+    observations has a field keeps a null for it. The first sight is the earliest observation with any authority, or
+    the earliest of all where none has.
     """
     order = F.struct(authority, observed_at, source)
+    first = F.coalesce(F.min(F.when(F.col(authority) > 0, F.col(observed_at))), F.min(observed_at))
     picks = [F.max_by(F.col(f"{f}.value"), F.when(F.col(f"{f}.state") != "unobserved", order)).alias(f) for f in fields]
-    return df.groupBy(*keys).agg(*picks, F.min(observed_at).alias("first_seen_at"), F.max(observed_at).alias("last_seen_at"))
+    return df.groupBy(*keys).agg(*picks, first.alias("first_seen_at"), F.max(observed_at).alias("last_seen_at"))
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str], *, keep: Sequence[str] = ("first_seen_at",)) -> DataFrame:
@@ -87,12 +90,13 @@ def with_ordinal(df: DataFrame, by: Sequence, *, partition: Sequence[str] = (),
 
 
 def ancestry(df: DataFrame, *, node: str, parent: str, start, limit: int = 1000) -> DataFrame:
-    """(node, depth) from a start node up to its root, by a recursive query."""
-    df.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView("_fieldloom_edges")
+    """(node, depth) from a start node up to its root, `limit` steps at most, by a recursive query that leaves no view behind."""
+    edges = df.select(col(node).alias("node"), col(parent).alias("parent"))
     return df.sparkSession.sql(
-        f"""WITH RECURSIVE up(node, parent, depth) AS (
-          SELECT node, parent, 0 FROM _fieldloom_edges WHERE node = :start
-          UNION ALL SELECT e.node, e.parent, up.depth + 1 FROM up JOIN _fieldloom_edges e ON e.node = up.parent WHERE up.depth < {int(limit)}
+        f"""WITH RECURSIVE up(node, parent, depth) MAX RECURSION LEVEL {int(limit) + 2} AS (
+          SELECT node, parent, 0 FROM {{edges}} WHERE node = :start
+          UNION ALL SELECT e.node, e.parent, up.depth + 1 FROM up JOIN {{edges}} e ON e.node = up.parent WHERE up.depth < {int(limit)}
         ) SELECT node, depth FROM up""",
         args={"start": start},
+        edges=edges,
     )

@@ -257,7 +257,7 @@ def identity_find(spark, d):
 
 @query(
     """WITH o AS (SELECT user_id, event_id, ts, event_type, value, CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS authority FROM events)
-SELECT user_id, arg_max(event_type, row(authority, ts, event_id)) AS kind, arg_max(value, row(authority, ts, event_id)) FILTER (value > 10) AS amount, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM o GROUP BY user_id"""
+SELECT user_id, arg_max(event_type, row(authority, ts, event_id)) AS kind, arg_max(value, row(authority, ts, event_id)) FILTER (value > 10) AS amount, coalesce(min(ts) FILTER (authority > 0), min(ts)) AS first_seen_at, max(ts) AS last_seen_at FROM o GROUP BY user_id"""
 )
 def observation_merge(spark, d):
     e = read(spark, d, "events")

@@ -46,6 +46,8 @@ class Recipe:
     #: A source's version of what it would read now; without one its results are never taken from the store.
     version: Callable | None = None
     deterministic: bool = True
+    #: Looks at a source's arguments when the graph is built.
+    check: Callable | None = None
 
     @property
     def name(self) -> str:
@@ -56,6 +58,8 @@ class Recipe:
             return {k: replace(n, alias=n.alias or k) for k, n in self.fn(**arguments).items()}
         if self.kind == "dataset":
             return Node(self, {"rows": self.fn(**arguments)})
+        if self.check:
+            self.check(arguments)
         return Node(self, arguments)
 
 
@@ -139,9 +143,9 @@ def _add(r: Recipe) -> Recipe:
     return r
 
 
-def source(id: str, revision: int, schema: T.StructType, *, version: Callable | None = None):
+def source(id: str, revision: int, schema: T.StructType, *, version: Callable | None = None, check: Callable | None = None):
     """fn(spark, **arguments) -> DataFrame with the declared schema."""
-    return lambda fn: _add(Recipe("source", id, revision, fn, schema, version=version))
+    return lambda fn: _add(Recipe("source", id, revision, fn, schema, version=version, check=check))
 
 
 def step(id: str, revision: int, *, deterministic: bool = True):
@@ -269,7 +273,8 @@ def run(
                 tell("node_computed", n.label)
             frames[n.key] = df
         except Exception as e:
-            category = "contract" if isinstance(e, ContractError) else "transform" if isinstance(e, TransformError) else "executor"
+            broken = isinstance(e, ContractError) or "contract: " in str(e)  # in-plan checks fail in the query
+            category = "contract" if broken else "transform" if isinstance(e, TransformError) else "executor"
             tell("run_failed", n.label, category=category)
             raise RunError(run_id, n.label, category) from e
     tell("run_succeeded")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.checks import none_where
 from fieldloom.errors import ContractError
+from fieldloom.schema import TAGGED_SCALAR
 
 ORDINAL = "source_ordinal"
 
@@ -21,6 +22,8 @@ def camel(name: str) -> str:
 
 def as_sent(kind: T.DataType, odd: Mapping[str, str]) -> T.DataType:
     """The type under the names of the responses: camel case, but for the names listed in `odd`."""
+    if kind == TAGGED_SCALAR:
+        return T.VariantType()
     if isinstance(kind, T.StructType):
         return T.StructType([T.StructField(odd.get(f.name, camel(f.name)), as_sent(f.dataType, odd)) for f in kind])
     if isinstance(kind, T.ArrayType):
@@ -28,6 +31,25 @@ def as_sent(kind: T.DataType, odd: Mapping[str, str]) -> T.DataType:
     return kind
 
 
+def tagged(v: Column) -> Column:
+    """A variant that is a text or a number as a tagged scalar; whole numbers as their shortest big-endian two's complement."""
+    kind = F.schema_of_variant(v)
+    whole, text = kind.rlike(r"^(BIGINT|DECIMAL\([0-9]+,0\))$"), kind == "STRING"
+    n = F.variant_get(v, "$", "bigint")
+    digits = F.hex(n)
+    even = F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits)
+    plus = F.when(even.rlike("^[89A-F]"), F.concat(F.lit("00"), even)).otherwise(even)
+    least = F.unhex(F.when(n < 0, F.regexp_replace(digits, "^(FF)+(?=[89A-F])", "")).otherwise(plus))
+    tag = F.when(text, "string").when(whole, "integer").when(kind.rlike(r"^(DOUBLE|FLOAT|DECIMAL\(.*)$"), "float")
+    of = F.struct(
+        F.coalesce(tag, F.raise_error(F.lit("contract: a value is neither text nor number"))).alias("kind"),
+        F.when(text, F.variant_get(v, "$", "string")).alias("string_value"),
+        F.when(whole, least).alias("integer_value"),
+        F.when(~text & ~whole, F.variant_get(v, "$", "double")).alias("float_value"),
+    )
+    return F.when(v.isNotNull(), of)
+
+
 def read_pages(spark: SparkSession, path: str, schema: T.StructType, *, shape: str = "list", odd: Mapping[str, str] | None = None) -> DataFrame:
     """The declared columns, and source_ordinal: the place in the body. Bodies are read one a row and exploded on executors.
 
@@ -52,7 +74,8 @@ def read_pages(spark: SparkSession, path: str, schema: T.StructType, *, shape: s
     else:
         known = F.array(*[F.lit(f.name) for f in sent])
         none_where(rows, F.size(F.array_except("_names", known)) > 0, "a body holds undeclared fields")
-        out = rows.select(*[F.col("_row").getField(s.name).cast(f.dataType).alias(f.name) for s, f in zip(sent, schema)], ORDINAL)
+        at = lambda s, f: tagged(F.col("_row").getField(s.name)) if f.dataType == TAGGED_SCALAR else F.col("_row").getField(s.name).cast(f.dataType)
+        out = rows.select(*[at(s, f).alias(f.name) for s, f in zip(sent, schema)], ORDINAL)
     for f in schema:
         if not f.nullable:
             none_where(out, F.col(f.name).isNull(), f"{f.name} is null")

@@ -110,3 +110,41 @@ def test_contracts(spark):
         checks.keys_unique(df.union(df), ["a"])
     with pytest.raises(ContractError):
         checks.keys_unique(df.withColumn("a", F.lit(None).cast("int")), ["a"])
+
+
+def test_text_casts_take_plain_forms_only(spark):
+    from fieldloom.errors import TransformError
+    from fieldloom.operators import columns
+
+    good = {"int64": ["12", "-3"], "float64": ["1.5", "2", "1e3"], "boolean": ["true"], "date32": ["2024-01-02"], "timestamp[us]": ["2024-01-02 03:04:05"], "timestamp[us, UTC]": ["2024-01-02T03:04:05Z"]}
+    bad = {"int64": [" 12 ", "1.0"], "float64": ["1.5d", " 1"], "boolean": ["yes", "1"], "date32": ["2024", "2024-1-2"], "timestamp[us]": ["2024-01-02"], "timestamp[us, UTC]": ["2024-01-02 03:04:05"]}
+    kinds = list(good)
+    d = spark.createDataFrame([tuple(good[k][0] for k in kinds), tuple(good[k][-1] for k in kinds)], [f"a.{k}" for k in range(len(kinds))])
+    out = columns.strict_cast_columns(d, columns={f"a.{k}": t for k, t in enumerate(kinds)})
+    assert out.count() == 2 and columns.rename_columns(columns.select_columns(out, columns=["a.0"]), mapping={"a.0": "x.y"}).columns == ["x.y"]
+    for k, texts in bad.items():
+        for text in texts:
+            with pytest.raises(TransformError):
+                columns.strict_cast_columns(spark.createDataFrame([(text,)], "x string"), columns={"x": k})
+
+
+def test_deep_ancestry_and_folding(spark):
+    from fieldloom.functions.text import casefolded, identity_text
+    from fieldloom.operators import state
+
+    chain = spark.range(400).selectExpr("id as node", "if(id > 0, id - 1, null) as parent")
+    assert state.ancestry(chain, node="node", parent="parent", start=350).count() == 351
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("_fieldloom")]
+    words = ["Straße", "ΣΊΣΥΦΟΣ", "İstanbul", "ılık", "ﬁn", "ſo", "ᾼ", "ẞ"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", casefolded(F.col("w")).alias("f")).collect()
+    assert {r.w: r.f for r in got} == {w: w.casefold() for w in words}
+    assert spark.range(1).select(identity_text(F.lit(" A\u00a0\t B\x1c "))).first()[0] == "a b"
+
+
+def test_first_sight_needs_authority(spark):
+    from fieldloom.operators import state
+
+    rows = [(1, 0, 5, "a", ("known", 1)), (1, 2, 9, "b", ("known", 2)), (2, 0, 4, "a", ("known", 3))]
+    d = spark.createDataFrame(rows, "k long, auth int, at int, src string, f struct<state: string, value: int>")
+    got = state.merge_observations(d, ["k"], ["f"], authority="auth", observed_at="at", source="src")
+    assert {r.k: (r.f, r.first_seen_at) for r in got.collect()} == {1: (2, 9), 2: (3, 4)}
