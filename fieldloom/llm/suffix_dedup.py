@@ -27,8 +27,11 @@ LENGTH = 400
 AT_ONCE = 4096
 #: A larger collection is cut into smaller ones first.
 LARGEST = 50_000
+#: So many of the commonest anchors, whatever the input, are counted apart: their rows meet a table sent to all workers instead of one task.
+COMMONEST = 1000
 _POSITION = 20
-_BLOCK = (1 << _POSITION) - 1024
+_LONGEST = 1024
+_BLOCK = (1 << _POSITION) - _LONGEST
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -315,14 +318,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, largest: int = LARGEST
     Equal texts are one document here, as their copies repeat them whole. Each span is a union of windows that
     start anywhere else in the distinct texts; spans of a text may overlap.
     """
+    if not 2 <= length <= _LONGEST:
+        raise ValueError(f"length must be 2 to {_LONGEST} bytes")
     spark = docs.sparkSession
     ship_package(spark)
     found = _texts(docs).mapInArrow(_find_anchors(length), "text binary, keys array<long>, at array<long>")
     classes = found.groupBy("text").agg(F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("at").alias("at"))
     classes = materialize(classes, "classes")
     each = classes.select("text", F.explode(F.arrays_zip("keys", "at")).alias("a")).select("text", F.col("a.keys").alias("key"), "a.at")
-    often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = each.join(often, "key").groupBy("text").agg(F.collect_list(F.struct("at", "key", "n")).alias("found"))
+    often = materialize(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    hot = F.broadcast(often.orderBy(F.desc("n"), "key").limit(COMMONEST).toDF("key", "hot"))
+    told = each.join(hot, "key", "left")
+    told = told.where("hot is null").drop("hot").join(often, "key").union(told.where("hot is not null").withColumnRenamed("hot", "n"))
+    wanted = told.groupBy("text").agg(F.collect_list(F.struct("at", "key", "n")).alias("found"))
     bodies = _texts(docs).groupBy("text").agg(F.first("body").alias("body"))
     pieces = bodies.join(wanted, "text").select("text", "body", "found").mapInArrow(_cut_pieces(length), "key long, text binary, at long, n long, piece binary")
     n = 4 * partitions(spark)
@@ -336,7 +344,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, largest: int = LARGEST
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, largest: int = LARGEST) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats) of each row of docs; repeats is 1 where anything goes, else 0.
 
     A byte is removed if a string of `length` bytes that covers it starts anywhere else, in the same document or
     another, judged on the input. Null texts are empty; texts shorter than `length` keep all; rows that repeat a
@@ -358,4 +366,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, largest: int = LARGES
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone | (F.col("n_removed") > 0), 1).otherwise(0).alias("repeats"),
     )
