@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,15 +16,22 @@ from pyspark.sql import functions as F
 from fieldloom.llm._shared import ship_package
 from fieldloom.llm.html_training import labelled_pages
 
+#: Elements open at a time, at most; deeper ones are text of the deepest, as browsers do it.
+DEEPEST = 512
 #: Labelled pages that the model is fitted on.
 TRAINING_PAGES = 600
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""["'>]""")
+#: Tags of a page whose quotes may turn out not to be closed; after them quotes no longer hide a tag's end.
+UNCLOSED = 16
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-SKIPPED = frozenset("script style noscript template textarea title iframe svg canvas object select math".split())
+#: Their content is no text of the page: it ends with their closing tag, or, where there is none, with the page.
+RAW = frozenset("script style template textarea title iframe".split())
+#: Their content goes too, but without a closing tag they are as good as not there.
+DRAWN = frozenset("svg select".split())
 _CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
@@ -47,6 +55,69 @@ class _Open:
         self.features = own if parent is None else parent.features if own <= parent.features else parent.features | own
 
 
+class Scanner:
+    """The tags of a page, found in time that grows with its length however broken it is.
+
+    What was looked for in vain is not looked for again further on: no closing tag, no closing quote and no end of a tag
+    turns up later in the page if there is none from here on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.unclosed = page, page.rfind(">"), 0
+        self.gone: set[str] = set()
+
+    def tag(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the first tag, comment or declaration from here on; the last two have no name."""
+        page = self.page
+        while True:
+            i = page.find("<", at)
+            if i < 0:
+                return None
+            if page.startswith("<!--", i):
+                e = page.find("-->", i + 4)
+                return i, len(page) if e < 0 else e + 3, False, "", ""
+            if i >= self.last:
+                # no tag ends, but a comment may still begin
+                at = page.find("<!--", i)
+                if at < 0:
+                    return None
+                continue
+            c = page[i + 1]
+            if c in "!?":
+                return i, page.index(">", i) + 1, False, "", ""
+            closing = c == "/"
+            m = _NAME.match(page, i + 1 + closing)
+            if m:
+                e = self._end(m.end())
+                if e >= 0:
+                    return i, e + 1, closing, m[0].lower(), page[m.end() : e]
+            at = i + 1
+
+    def _end(self, at: int) -> int:
+        page, i = self.page, at
+        while self.unclosed < UNCLOSED:
+            m = _STOP.search(page, i)
+            if m is None or (m[0] != ">" and (m[0] in self.gone or page.find(m[0], m.end()) < 0)):
+                if m is not None:
+                    self.gone.add(m[0])
+                self.unclosed += 1
+                break
+            if m[0] == ">":
+                return m.start()
+            i = page.find(m[0], m.end()) + 1
+        return page.find(">", at)
+
+    def after_closing(self, tag: str, at: int) -> int:
+        """Where the closing tag's end is, or -1."""
+        if f"/{tag}" in self.gone:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if m is None:
+            self.gone.add(f"/{tag}")
+            return -1
+        return m.end()
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's leaf blocks: runs of text between the borders of block elements, white space made one space."""
     out: list[Block] = []
@@ -63,61 +134,69 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    at, skip_to = 0, None
+    at, scanner, depth = 0, Scanner(page), Counter(["html"])
     while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
+        found = scanner.tag(at)
+        if found is None:
             parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+        start, end, closing, tag, attributes = found
+        if start > at:
+            parts.append(page[at:start])
             if any(o.tag == "a" for o in stack[-3:]):
-                linked += m.start() - at
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+                linked += start - at
+        at = end
         if not tag:
             continue
-        if m[1] or m[4]:
+        if closing:
             if tag in VOID:
                 if tag == "br":
                     parts.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if any(o.tag not in INLINE for o in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-            else:
-                if tag not in INLINE:
+            if depth[tag] and tag != "html":
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                if any(o.tag not in INLINE for o in stack[k:]):
                     flush()
-            continue
-        attributes = m[3] if m[2] else m[6]
-        if tag in SKIPPED:
-            if tag not in INLINE:
+                depth.subtract(o.tag for o in stack[k:])
+                del stack[k:]
+            elif tag not in INLINE:
                 flush()
-            if not attributes.endswith("/"):
-                skip_to = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = skip_to.end() if skip_to else len(page)
+            continue
+        if tag in RAW or tag in DRAWN:
+            flush()
+            closed = -1 if attributes.endswith("/") else scanner.after_closing(tag, at)
+            if closed >= 0:
+                at = closed
+            elif tag in RAW and not attributes.endswith("/"):
+                break
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in INLINE:
             flush()
-            _close_implied(stack, tag)
-        if tag not in VOID and not attributes.endswith("/") or tag not in VOID and tag not in INLINE:
-            stack.append(_Open(tag, attributes, stack[-1]))
+            before = len(stack)
+            ended = _close_implied(stack, tag)
+            if len(stack) < before:
+                depth.subtract(ended)
+        if tag not in VOID and (tag not in INLINE or not attributes.endswith("/")):
+            if len(stack) < DEEPEST:
+                stack.append(_Open(tag, attributes, stack[-1]))
+                depth[tag] += 1
     flush()
     return out
 
 
-def _close_implied(stack: list[_Open], tag: str) -> None:
-    """A block begins: it ends an open paragraph, and an item ends the one before it."""
+def _close_implied(stack: list[_Open], tag: str) -> list[str]:
+    """A block begins: it ends an open paragraph, and an item ends the one before it. Returns the tags that end."""
+    gone: list[str] = []
     k = len(stack) - 1
     while k > 0 and stack[k].tag in INLINE:
         k -= 1
     if k > 0 and stack[k].tag == "p":
+        gone += [o.tag for o in stack[k:]]
         del stack[k:]
     if tag in _CLOSES:
         ended, within = _CLOSES[tag]
@@ -125,8 +204,10 @@ def _close_implied(stack: list[_Open], tag: str) -> None:
             if stack[k].tag in within:
                 break
             if stack[k].tag in ended.split():
+                gone += [o.tag for o in stack[k:]]
                 del stack[k:]
                 break
+    return gone
 
 
 def _block(text: str, stack: list[_Open], linked: int) -> Block:
