@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,8 +16,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
 #: What a character outside the vocabulary costs beyond the lowest score.
 UNKNOWN_PENALTY = 10.0
-#: Words that a worker remembers, at most; then it starts anew.
-REMEMBERED = 1_000_000
+#: Words that a worker remembers, at most; then it starts anew. Longer words are worked out each time.
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
@@ -35,7 +36,9 @@ class _Costs(dict):
         self.cost = cost
 
     def __missing__(self, word: str) -> int:
-        self[word] = c = self.cost(word)
+        c = self.cost(word)
+        if len(word) <= LONGEST:
+            self[word] = c
         return c
 
 
@@ -111,11 +114,11 @@ class Counter:
         return total & ((1 << 44) - 1), -float(total >> 44)
 
 
-_counters: dict[int, Counter] = {}
+_counters: dict[str, Counter] = {}
 
 
 def _counted(vocabulary: list[tuple[str, float]]):
-    version = hash(tuple(vocabulary[:: max(1, len(vocabulary) // 97)])) ^ len(vocabulary)
+    version = hashlib.sha256(repr(vocabulary).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counters.get(version)
