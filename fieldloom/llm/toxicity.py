@@ -106,21 +106,23 @@ def held_out():
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
-        found = pa.array([terms(t.as_py()).view(np.int64) for t in rb.column(1)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([rb.column(0), found], ["toxic", "terms"])
+        found = pa.array([terms(t.as_py()).view(np.int64) for t in rb.column(2)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), found], ["doc_id", "toxic", "terms"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Machine:
     """Fit on at most `sample` labelled rows outside the held-out fold. A doc_id labelled more than once counts as its largest label.
 
     Terms are chosen on the cluster, by the same measure as in fit_machine; the driver gets the chosen terms of each
-    sampled row. Equal sets of terms count once, so a group of copies is one example.
+    sampled row. A doc_id with several texts gives one example, that with the least sequence of term hashes. Equal sets
+    of terms count once, so a group of copies is one example.
     """
     ship_package(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(known), "doc_id")  # `sample` rows at most
-    rows = rows.select("toxic", "text").mapInArrow(_hashed, "toxic int, terms array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(known), "doc_id")  # `sample` labels at most
+    rows = rows.select("doc_id", "toxic", "text").mapInArrow(_hashed, "doc_id long, toxic int, terms array<long>")
+    rows = rows.groupBy("doc_id").agg(F.min("terms").alias("terms"), F.first("toxic").alias("toxic"))
     rows = materialize(rows.groupBy("terms").agg(F.max("toxic").alias("toxic")), "sample")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     best = []
@@ -130,17 +132,67 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         chi = (F.col("df1") - F.col("want")) ** 2 / F.greatest(F.col("want") * (n - F.col("df")), F.lit(1e-9))
         best = [r.term for r in each.orderBy(chi.desc(), "term").limit(features).collect()]
     chosen = F.array(*map(F.lit, best)) if best else F.array().cast("array<bigint>")
-    got = rows.select("toxic", F.array_intersect("terms", chosen).alias("terms")).limit(2 * sample).collect()
+    got = rows.select("toxic", F.array_intersect("terms", chosen).alias("terms")).collect()  # `sample` rows at most
     got = sorted((r.toxic, r.terms) for r in got)
     return fit_machine([np.sort(np.array(t, np.int64).view(np.uint64)) for _, t in got], np.array([y for y, _ in got], np.int64))
 
 
+#: Words whose terms a worker remembers, at most, and their longest.
+REMEMBERED, LONGEST = 200_000, 32
+
+
+class Scorer:
+    """Scores batches of texts with a machine. Of each different word the terms are looked up once, not once a text."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.place = {int(h): k for k, h in enumerate(machine.ids)}
+        self.words: dict[str, tuple[int, ...]] = {}
+
+    def _terms(self, word: str) -> tuple[int, ...]:
+        from xxhash import xxh64_intdigest
+
+        forms = [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+        found = (self.place.get(xxh64_intdigest(f.encode("utf-8", "surrogatepass"))) for f in forms)
+        got = tuple(k for k in found if k is not None)
+        if len(word) <= LONGEST:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            self.words[word] = got
+        return got
+
+    def present(self, text: str) -> set[int]:
+        out: set[int] = set()
+        known = self.words.get
+        for w in set(_WORD.findall(text.lower())):
+            t = known(w)
+            if t is None:
+                t = self._terms(w)
+            if t:
+                out.update(t)
+        return out
+
+    def scores(self, texts) -> np.ndarray:
+        m = self.machine
+        each = [sorted(self.present(t)) for t in texts]
+        who = np.repeat(np.arange(len(each)), [len(e) for e in each])
+        at = np.array([k for e in each for k in e], np.int64)
+        z = m.bias + np.bincount(who, m.weights[at], len(each))
+        for f in range(m.factors.shape[1]):
+            v = m.factors[at, f]
+            z += 0.5 * (np.bincount(who, v, len(each)) ** 2 - np.bincount(who, v * v, len(each)))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def scorer(machine: Machine):
     """A column function: text to score."""
+    held: list[Scorer] = []
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return text.map(machine.score).astype("float64")
+        if not held:
+            held.append(Scorer(machine))
+        return pd.Series(held[0].scores(text))
 
     return lambda column="text": score(text_of(column))
 
