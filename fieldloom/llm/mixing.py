@@ -143,7 +143,7 @@ def mixture(docs: DataFrame, budget_share: float = 1.0, target_entropy: float |
     return used.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"), "block", "place")
 
 
-def mixed(docs: DataFrame, budget_share: float = 0.8, target_entropy: float | None = 0.98, seed: int = 0) -> DataFrame:
+def mixed(docs: DataFrame, budget_share: float = 0.95, target_entropy: float | None = 0.98, seed: int = 0) -> DataFrame:
     """The rows of docs that a mixture without repetition uses, with their columns."""
     rows, blocks, fitting = plan(docs, budget_share, target_entropy, 1.0, seed)
     taken = blocks.select("source", "block", "passes", "whole")
