@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.checks import guarded, keys_unique, none_where, within_universe
@@ -47,15 +47,43 @@ def enrich_collect(base: DataFrame, other: DataFrame, keys: Sequence[str], *, or
 
 
 def range_one(base: DataFrame, ranges: DataFrame, on: Sequence[str], *, value: str, start: str, end: str, id_columns: Sequence[str]) -> DataFrame:
-    """Join each base row with the one range of its key with start <= value <= end (null: open); none or several raise."""
-    x, y = base.alias("x"), ranges.withColumn("_there", F.lit(True)).alias("y")
-    v, a, b = F.col(f"x.{value}"), F.col(f"y.{start}"), F.col(f"y.{end}")
-    joined = x.join(y, [*(F.col(f"x.{k}") == F.col(f"y.{k}") for k in on), a <= v, b.isNull() | (v <= b)], "left")
-    joined = joined.select("x.*", *[F.col(f"y.{c}") for c in ranges.columns if c not in on], "_there")
-    counts = joined.groupBy(*id_columns).agg(F.count("_there").alias("n")).where("n != 1")
-    if bad := counts.take(1):
-        raise ContractError(f"{bad[0].n} ranges match {bad[0]}")
-    return joined.drop("_there")
+    """Join each base row with the one range of its key with start <= value <= end (null: open); none or several raise.
+
+    Rows and ends of ranges are swept together in order, once: a count of open ranges and the exclusive-or of their
+    hashes run along, so where one is open that is its hash. No row meets all ranges of its key. Hashes are of whole ranges.
+    """
+    r = ranges.where(F.col(start).isNotNull()).withColumn("_hash", F.xxhash64(*ranges.columns))
+    kind = base.schema[value].dataType
+    none = F.lit(None).cast(base.schema.simpleString())
+    event = lambda df, at, place, step, h, row: df.select(*on, F.col(at).cast(kind).alias("_at"), F.lit(place).alias("_place"), F.lit(step).alias("_step"), h.alias("_hash"), row.alias("_row"))
+    rows = event(base, value, 1, 0, F.lit(0).cast("long"), F.struct(*base.columns))
+    sweep = rows.unionAll(event(r, start, 0, 1, F.col("_hash"), none)).unionAll(event(r.where(F.col(end).isNotNull()), end, 2, -1, F.col("_hash"), none))
+    along = Window.partitionBy(*on).orderBy("_at", "_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = sweep.withColumns({"_n": F.sum("_step").over(along), "_hash": F.bit_xor("_hash").over(along)}).where("_place = 1")
+    open_ = open_.withColumn("_n", F.when(F.col("_at").isNull(), 0).otherwise(F.col("_n")))
+    if bad := open_.where("_n != 1").select("_n", *[F.col("_row").getField(c).alias(c) for c in id_columns]).take(1):
+        raise ContractError(f"{bad[0]._n} ranges match {bad[0]}")
+    rest = [c for c in ranges.columns if c not in on]
+    return open_.select("_row.*", *[F.col(k).alias(f"_on_{k}") for k in on], "_hash").join(
+        r.select("_hash", *[F.col(k).alias(f"_on_{k}") for k in on], *[F.col(c).alias(f"_of_{c}") for c in rest]), ["_hash", *[f"_on_{k}" for k in on]]
+    ).select(*base.columns, *[F.col(f"_of_{c}").alias(c) for c in rest])
+
+
+def semi_any(df: DataFrame, columns: Sequence[str], ids: DataFrame, key: str) -> DataFrame:
+    """The rows, once each, of which any of the columns is among the ids. No join on an OR: each column meets the distinct ids by itself."""
+    known = ids.select(F.col(key).alias("_id")).distinct().withColumn("_there", F.lit(True))
+    out = df
+    for k, c in enumerate(columns):
+        out = out.join(known.select(F.col("_id").alias(f"_id{k}"), F.col("_there").alias(f"_there{k}")), F.col(c) == F.col(f"_id{k}"), "left")
+    any_ = None
+    for k, _ in enumerate(columns):
+        any_ = F.col(f"_there{k}").isNotNull() if any_ is None else any_ | F.col(f"_there{k}").isNotNull()
+    return out.where(any_).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def coverage_of(covered: Column, total: Column) -> Column:
+    """'empty', 'partial' or 'complete': all or nothing is the rule where an enrichment is asked for."""
+    return F.when(covered == 0, "empty").when(covered == total, "complete").otherwise("partial")
 
 
 def outer_union(a: DataFrame, b: DataFrame, keys: Sequence[str], *, status: str, names: tuple[str, str, str] = ("both", "left_only", "right_only")) -> DataFrame:

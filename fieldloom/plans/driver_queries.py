@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom import checks
+from fieldloom.functions import freshness
 from fieldloom.functions.text import clock_seconds, result_state
 from fieldloom.operators import columns, joins, nested, state
+from fieldloom.products import seasons, team_games
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,12 +95,19 @@ def flatten_props(spark, d):
     return nested.flatten_struct(e, field="props", fields=["k"], prefix="prop_", null_struct="null_fields")
 
 
-_WORDS = "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN [] ELSE string_split(text, ' ') END AS words FROM documents"
+#: Every document's words, and beside them a row with a null list and one with an empty list for each source.
+_WORDS = """SELECT doc_id, string_split(text, ' ') AS words FROM documents
+UNION ALL SELECT -1 - dense_rank() OVER (ORDER BY source), NULL FROM (SELECT DISTINCT source FROM documents)
+UNION ALL SELECT -1001 - dense_rank() OVER (ORDER BY source), [] FROM (SELECT DISTINCT source FROM documents)"""
 
 
 def _words(spark, d):
-    w = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.split("text", " "))
-    return read(spark, d, "documents").select("doc_id", w.alias("word"))
+    docs = read(spark, d, "documents")
+    w = docs.select("doc_id", F.split("text", " ").alias("word"))
+    source = state.with_ordinal(docs.select("source").distinct(), ["source"], name="n")  # some tens of rows
+    none = source.select((F.lit(-2) - F.col("n")).alias("doc_id"), F.lit(None).cast("array<string>").alias("word"))
+    empty = source.select((F.lit(-1002) - F.col("n")).alias("doc_id"), F.array().cast("array<string>").alias("word"))
+    return joins.concat(w, none, empty)
 
 
 @query(f"SELECT doc_id, unnest(words) AS word, CAST(unnest(range(len(words))) AS BIGINT) AS ordinal FROM ({_WORDS}) WHERE len(words) > 0")
@@ -168,7 +177,7 @@ FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source"""
 def complete_or_empty(spark, d):
     j = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels").select("doc_id", F.lit(1).alias("there")), "doc_id", "left")
     n = j.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("there").alias("n_labelled"))
-    return n.withColumn("coverage", F.when(F.col("n_labelled") == 0, "empty").when(F.col("n_labelled") == F.col("n_docs"), "complete").otherwise("partial"))
+    return n.withColumn("coverage", joins.coverage_of(F.col("n_labelled"), F.col("n_docs")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_shipdate, o_orderdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate")
@@ -223,8 +232,9 @@ def set_equality(spark, d):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS season FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1996")
 def concat_partitions(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("season"))
-    return joins.concat(*[o.where(F.col("season") == y) for y in range(1993, 1997)])
+    o = read(spark, d, "orders")
+    in_year = lambda y: (F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast(o.schema["o_orderdate"].dataType)) & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast(o.schema["o_orderdate"].dataType))
+    return joins.concat(*[o.where(in_year(y)).select("o_orderkey", "o_custkey", "o_totalprice", F.lit(y).alias("season")) for y in range(1993, 1997)])
 
 
 _NAMES = """WITH e AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), substr(n_name, 1, 1) FROM nation),
@@ -247,12 +257,8 @@ def identity_resolution(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = 3 AND (s_suppkey = l.l_partkey OR s_suppkey = l.l_suppkey))")
 def identity_find(spark, d):
-    ids = read(spark, d, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("k")).distinct()
     lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    either = lines.withColumn("k", F.explode(F.array_distinct(F.array("l_partkey", "l_suppkey")))).withColumn("second", (F.col("k") == F.col("l_suppkey")) & (F.col("k") != F.col("l_partkey")))
-    a = either.join(ids, "k", "left_semi")
-    both = ids.select(F.col("k").alias("l_partkey"), F.lit(True).alias("first_too"))
-    return a.join(both, "l_partkey", "left").where("not second or first_too is null").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return joins.semi_any(lines, ["l_partkey", "l_suppkey"], read(spark, d, "supplier").where("s_nationkey = 3"), "s_suppkey")
 
 
 @query(
@@ -308,10 +314,10 @@ def catalog_counts(spark, d):
 CASE WHEN o_totalprice < 1000 THEN 300 ELSE 1209600 END) AS BIGINT) AS ttl_seconds FROM orders"""
 )
 def ttl_refinement(spark, d):
-    return read(spark, d, "orders").select(
-        "o_orderkey",
-        F.expr("""cast(least(case o_orderstatus when 'O' then 3600 when 'F' then 2592000 else 86400 end, if(o_orderdate >= timestamp_ntz '1998-01-01', 900, 604800), if(o_totalprice < 1000, 300, 1209600)) as bigint)""").alias("ttl_seconds"),
-    )
+    of = F.when(F.col("o_orderstatus") == "O", 3600).when(F.col("o_orderstatus") == "F", 2592000).otherwise(86400)
+    lately = F.when(F.col("o_orderdate") >= F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00")), 900).otherwise(604800)
+    small = F.when(F.col("o_totalprice") < 1000, 300).otherwise(1209600)
+    return read(spark, d, "orders").select("o_orderkey", freshness.refined_seconds(of, lately, small).alias("ttl_seconds"))
 
 
 @query("SELECT event_id, CAST(nullif(minute(ts), 0) * 60 + second(ts) AS BIGINT) AS clock_seconds FROM events")
@@ -324,3 +330,86 @@ def scalar_bind(spark, d):
     n = read(spark, d, "nation")
     key = nested.bind_value(n.where("n_nationkey = 7"), "n_regionkey", int)
     return n.where(F.col("n_regionkey") == key).join(read(spark, d, "region").where(F.col("r_regionkey") == key), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT low, high FROM (SELECT lag(event_id) OVER w AS low, event_id AS high, lag(ts) OVER w AS before, ts FROM events WINDOW w AS (ORDER BY event_id)) WHERE before > ts")
+def order_violations(spark, d):
+    """Neighbours by event_id whose times run backwards."""
+    return checks.disorder(read(spark, d, "events").select("event_id", "ts"), "event_id", ["ts"])
+
+
+@query("SELECT d.doc_id, l.toxic, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)")
+def attach_checked(spark, d):
+    """An enrichment whose uniqueness and place in the base are checked within the plan."""
+    labels = read(spark, d, "labels").select("doc_id", F.struct("quality", "toxic").alias("label"))
+    out = joins.attach(read(spark, d, "documents").select("doc_id"), labels, ["doc_id"], into="label", outside="error")
+    return out.select("doc_id", F.col("label.toxic").alias("toxic"), F.col("label").isNotNull().alias("labelled"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' THEN 'fresh' WHEN ts + INTERVAL 7 DAY > TIMESTAMP '2024-01-15' THEN 'stale' ELSE 'expired' END AS state FROM events"""
+)
+def freshness_states(spark, d):
+    until = lambda days: F.col("ts") + F.expr(f"interval {days} days")
+    now = F.lit("2024-01-15 00:00:00").cast(read(spark, d, "events").schema["ts"].dataType)
+    return read(spark, d, "events").select("event_id", freshness.state(until(1), until(7), now).alias("state"))
+
+
+_GAMES = """SELECT l_orderkey * 8 + l_linenumber AS game_id, l_partkey AS home_id, l_suppkey AS away_id, CAST(l_quantity AS BIGINT) AS home_points, CAST(l_linenumber * 9 AS BIGINT) AS away_points FROM lineitem"""
+_SIDES = "SELECT game_id, {place} AS perspective_ordinal, '{own}' AS home_away, {own}_id AS team_id, {other}_id AS opponent_id, {own}_points - {other}_points AS point_differential, " + _RESULT.format("{own}_points", "{other}_points") + " AS result FROM (" + _GAMES + ")"
+
+
+@query(" UNION ALL ".join(_SIDES.format(place=k, own=a, other=b) for k, (a, b) in enumerate((("home", "away"), ("away", "home")))))
+def team_games_product(spark, d):
+    """Line items as games between their part and their supplier: both sides, by the product's own step."""
+    home, away = long("l_quantity"), long(F.col("l_linenumber") * 9)
+    x = {"game_id": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "season": F.lit(2024), "week": F.lit(1), "season_type": F.lit("regular"), "start_date": F.col("l_shipdate"), "completed": F.lit(True)}
+    x |= {c: F.lit(True) for c in ("neutral_site", "conference_game")} | {c: F.lit("x") for c in ("venue_id", "venue")}
+    for side, key, points in (("home", "l_partkey", home), ("away", "l_suppkey", away)):
+        x |= {f"{side}_id": F.col(key), f"{side}_team": F.col(key).cast("string"), f"{side}_conference": F.lit("c"), f"{side}_classification": F.lit("fbs"), f"{side}_points": points}
+    x |= {"total_points": home + away, "margin": F.abs(home - away), "result_state": F.when(home > away, "home_win").when(home < away, "away_win").otherwise("tie")}
+    x |= {"winner_id": F.when(home > away, F.col("l_partkey")).when(home < away, F.col("l_suppkey"))}
+    games = read(spark, d, "lineitem").select(*[c.alias(n) for n, c in x.items()])
+    # a part and a supplier may have one number: such a game's winner isn't told by id, so it is left to the side's points
+    out = team_games.sides(games)
+    same = F.col("team_id") == F.col("opponent_id")
+    result = F.when(same & (F.col("point_differential") != 0), result_state(F.col("points"), F.col("opponent_points"))).otherwise(F.col("result"))
+    return out.select("game_id", F.col("perspective_ordinal").cast("int").alias("perspective_ordinal"), "home_away", "team_id", "opponent_id", "point_differential", result.alias("result"))
+
+
+@query(
+    """SELECT 2024 AS season, c_custkey AS team_id, c_name AS team, CAST(count(*) AS BIGINT) AS n_statistics, CAST(min(o_orderkey) AS VARCHAR) AS first_statistic, max(o_totalprice) AS best,
+CASE WHEN c_acctbal > 0 THEN 'present' END AS state FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY c_custkey, c_name, c_acctbal"""
+)
+def team_seasons_product(spark, d):
+    """Customers in credit that have orders as teams, their orders as statistics and their best order as advanced metrics; ratings from the customers themselves."""
+    o = read(spark, d, "orders")
+    c = read(spark, d, "customer").where("c_acctbal > 0").join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    record = {n: F.lit(None).cast("string") for n in seasons._RECORD} | {"conference": F.lit("c")}
+    records = c.select(F.lit(2024).alias("year"), F.col("c_custkey").alias("team_id"), F.col("c_name").alias("team"), *[x.alias(n) for n, x in record.items()])
+    named = o.join(c.select(F.col("c_custkey").alias("o_custkey"), F.upper("c_name").alias("team")), "o_custkey")
+    stats = named.select(F.lit(2024).alias("season"), "team", F.lit("c").alias("conference"), F.col("o_orderkey").cast("string").alias("stat_name"), F.col("o_totalprice").alias("stat_value"), F.col("o_orderkey").alias("source_ordinal"))
+    best = named.groupBy("team").agg(F.max("o_totalprice").alias("best")).select(F.lit(2024).alias("season"), "team", "best", F.lit(0).alias("source_ordinal"))
+    elo = records.select("year", "team", "conference", F.lit(0).alias("source_ordinal"))
+    out = seasons.team_seasons(records, stats, best, elo_rating=elo)
+    return out.select("season", "team_id", "team", long(F.size("statistics")).alias("n_statistics"), F.col("statistics")[0]["name"].alias("first_statistic"), F.col("advanced.best").alias("best"), F.col("elo_rating_coverage").alias("state"))
+
+
+@query(
+    """WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS athlete_id, p_brand AS team, p_name AS name FROM part WHERE p_size <= 30),
+s AS (SELECT CAST(l_partkey AS VARCHAR) AS athlete_id, p_brand AS team, min(p_name) AS name, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT athlete_id, coalesce(m.team, s.team) AS source_team, coalesce(m.name, s.name) AS athlete_name, m.name IS NOT NULL AS roster_present, s.n IS NOT NULL AS statistics_present, CAST(coalesce(s.n, 0) AS BIGINT) AS n_statistics
+FROM m FULL JOIN s USING (athlete_id)"""
+)
+def player_seasons_product(spark, d):
+    """Parts as athletes of their brands: small ones are on the roster, returned ones have a statistic for each return."""
+    p = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("athlete_id"), F.col("p_brand").alias("team"), F.col("p_name").alias("name"), "p_size", "p_partkey")
+    members = p.where("p_size <= 30").select(F.lit(2024).alias("season"), F.col("team").alias("source_team"), "athlete_id", F.col("name").alias("first_name"), F.lit("").alias("last_name"), F.lit("QB").alias("position"))
+    back = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("source_ordinal"))
+    stats = back.join(p, "p_partkey").select(
+        F.lit(2024).alias("season"), F.col("athlete_id").alias("player_id"), F.col("name").alias("player"), F.lit("QB").alias("position"), F.lower("team").alias("lower_team"), "team", F.lit("c").alias("conference"),
+        F.lit("returned").alias("category"), F.col("source_ordinal").cast("string").alias("stat_type"), F.lit("1").alias("stat"), "source_ordinal",
+    ).drop("lower_team")
+    teams = p.select(F.col("team").alias("school")).distinct().select(F.crc32("school").alias("id"), "school", F.array().cast("array<string>").alias("alternate_names"))
+    out = seasons.player_seasons(2024, members, stats, teams)
+    return out.select("athlete_id", "source_team", "athlete_name", "roster_present", "statistics_present", long(F.size("statistics")).alias("n_statistics"))

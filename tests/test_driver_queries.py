@@ -1,7 +1,38 @@
+import os
+
+import pytest
+
 import __spark_entry__
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_names_and_entry(spark):
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(q)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def told(rows):
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v
+    return sorted((tuple(plain(v) for v in r) for r in rows), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_core_queries_against_sql(spark):
+    import duckdb
+
+    from fieldloom.plans.driver_queries import ORACLE_SQL, QUERIES, TABLES
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    wrong = {}
+    for name, f in QUERIES.items():
+        df = f(spark, SF)
+        columns = sorted(df.columns)
+        got, want = told(df.select(*columns).collect()), told(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+        if got != want:
+            wrong[name] = (len(got), len(want), [x for x in zip(got, want) if x[0] != x[1]][:1])
+    assert not wrong
