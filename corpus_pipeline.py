@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
+
+Rows are judged one by one: a repeated doc_id with another text is another document, and a null doc_id stays what it is.
+Null and empty texts pass as documents without words, of which the near-duplicate stage keeps one. Empty tables give empty
+results; without labels nothing is called toxic. Mixing without repetition can only take rows away: its stage keeps 95 % of the
+tokens, so rows of sources that stand out go, clean or not.
+"""
 
 from __future__ import annotations
 
