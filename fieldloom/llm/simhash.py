@@ -128,12 +128,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of (doc_id, text); whole texts, all rows.
 
     Null and empty texts, and those of white space alone, have fingerprint zero and link as any other. Rows that
-    repeat a doc_id give a row each. A null doc_id links with nothing and has a null component.
+    repeat a doc_id give a row each, linked by its own fingerprint alone. A null doc_id links with nothing and has a
+    null component.
     """
     slim = materialize(fingerprints(docs), "fingerprints")
-    reps = materialize(slim.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "reps")
-    comps = connected_components(links(reps, radius))
-    of = reps.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    reps = slim.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    reps = materialize(reps.withColumn("node", F.col("fp")), "reps")  # ids may repeat, fingerprints don't
+    comps = connected_components(links(reps.select("fp", "node"), radius))
+    group = reps.join(comps, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("group"))
+    of = group.join(group.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "component_id")
     out = slim.join(of, "fp", "left").withColumn("component_id", F.expr("if(doc_id is null, null, component_id)"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

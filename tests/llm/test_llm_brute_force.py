@@ -238,3 +238,10 @@ def test_vocabularies_are_told_apart(spark):
     d = spark.createDataFrame([(k, t[0]) for k, t in enumerate(texts)], "doc_id long, text string")
     score = lambda v: {r.score for r in d.mapInArrow(tokens._counted(v), "doc_id long, n_tokens long, score double").collect()}
     assert score(a) != score(b)
+
+
+def test_a_repeated_id_joins_no_groups(spark):
+    a, b = " ".join(prose(1, 60)), " ".join(prose(2, 60))
+    got = simhash.near_duplicates(frame(spark, [(5, a), (7, a), (5, b), (9, b), (3, b)])).collect()
+    by = {(r.doc_id, r.fingerprint): r.component_id for r in got}
+    assert sorted(by.values()) == [3, 3, 3, 5, 5] and len(set(r.fingerprint for r in got)) == 2
