@@ -405,7 +405,9 @@ def player_seasons_product(spark, d):
     """Parts as athletes of their brands: small ones are on the roster, returned ones have a statistic for each return."""
     p = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("athlete_id"), F.col("p_brand").alias("team"), F.col("p_name").alias("name"), "p_size", "p_partkey")
     members = p.where("p_size <= 30").select(F.lit(2024).alias("season"), F.col("team").alias("source_team"), "athlete_id", F.col("name").alias("first_name"), F.lit("").alias("last_name"), F.lit("QB").alias("position"))
-    back = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("source_ordinal"))
+    # an order can return one part under one line number more than once, so a part's returns are numbered
+    nth = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber"))
+    back = read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"), nth.cast("long").alias("source_ordinal"))
     stats = back.join(p, "p_partkey").select(
         F.lit(2024).alias("season"), F.col("athlete_id").alias("player_id"), F.col("name").alias("player"), F.lit("QB").alias("position"), F.lower("team").alias("lower_team"), "team", F.lit("c").alias("conference"),
         F.lit("returned").alias("category"), F.col("source_ordinal").cast("string").alias("stat_type"), F.lit("1").alias("stat"), "source_ordinal",
